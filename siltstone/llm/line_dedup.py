@@ -125,7 +125,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     own = docs.select("doc_id", id_or_least().alias("did"), text_or_empty().cast("binary").alias("text"), row_of_others(docs, "doc_id", "text", "n_lines", "n_dropped").alias("rest"))
     lines = store(hashed_lines(own, min_chars), "line-hashes")
     runs = build_runs(lines, batches, fanout, min_docs)
-    repeated = runs.merged().filter(F.col("n") >= min_docs)
+    # stored, so that the join has a plain side and adaptive execution can split a hot key's lines
+    repeated = store(runs.merged().filter(F.col("n") >= min_docs), "repeated-lines")
     lost = lines.join(repeated, ["h1", "h2"]).filter(F.col("did") < F.col("last"))
     lost = lost.groupBy("did").agg(F.collect_set(F.struct("h1", "h2")).alias("lost")).withColumnRenamed("did", "lost_did")
     joined = own.join(lost, own.did == lost.lost_did, "left").select("doc_id", "text", "lost", "rest")
