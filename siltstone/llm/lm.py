@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import store, text_or_empty
 
-HEAD, VOCABULARY, HIDDEN, CLASSES, K1, K2, LANES, ROUNDS, FAN_IN, SMOOTH, FOLDS = 1 << 17, 3000, 24, 48, 64, 16, 256, 2, 16, 0.1, 10
+HEAD, VOCABULARY, HIDDEN, CLASSES, K1, K2, LANES, ROUNDS, FAN_IN, SMOOTH, FOLDS = 1 << 17, 2000, 16, 40, 128, 16, 256, 2, 16, 0.1, 10
 END = b""
 
 
@@ -105,12 +105,12 @@ class Shape:
         group = np.minimum((at * classes).astype(np.int64), classes - 1)
         group = np.unique(group, return_inverse=True)[1]
         self.classes = int(group[-1]) + 1
-        self.class_of, self.place, self.members = np.zeros(self.size + 1, np.int64), np.zeros(self.size + 1, np.int64), []
-        for k in range(self.classes):
-            own = order[group == k]
-            self.members.append(own)
-            self.class_of[own], self.place[own] = k, np.arange(len(own))
-        self.mass = mass
+        # the output's columns stand in class order: class k has columns edges[k] to edges[k + 1]
+        self.edges = np.searchsorted(group, np.arange(self.classes + 1))
+        self.class_of, self.place = np.zeros(self.size + 1, np.int16), np.zeros(self.size + 1, np.int64)
+        self.class_of[order] = group
+        self.place[order] = np.arange(self.size + 1) - self.edges[group]
+        self.mass = mass[order]
         h = hidden
         self.parts = {"input": (self.size + 2, 3 * h), "state": (h, 3 * h), "bias": (3 * h,), "class": (h, self.classes), "class_bias": (self.classes,), "word": (h, self.size + 1), "word_bias": (self.size + 1,)}
 
@@ -130,8 +130,9 @@ class Shape:
         w["input"][:] = rng.normal(0, 0.3, w["input"].shape)
         w["state"][:] = rng.normal(0, 1 / np.sqrt(self.hidden), w["state"].shape)
         w["bias"][self.hidden : 2 * self.hidden] = 1  # keep the state at first
-        w["class_bias"][:] = np.log([self.mass[m].sum() for m in self.members]) - np.log(self.mass.sum())
-        w["word_bias"][:] = np.log(self.mass) - w["class_bias"][self.class_of]
+        sums = np.add.reduceat(self.mass, self.edges[:-1])
+        w["class_bias"][:] = np.log(sums / sums.sum())
+        w["word_bias"][:] = np.log(self.mass / np.repeat(sums, np.diff(self.edges)))
         return flat
 
 
@@ -154,42 +155,51 @@ def step(w: dict, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.
 def log_probs(shape: Shape, w: dict, states: np.ndarray, targets: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural-log probabilities of target ids given states (rows); with grad, adds the mean loss's gradients to it and
     returns that of the states."""
-    groups = shape.class_of[targets]
-    logits = states @ w["class"] + w["class_bias"]
-    logits -= logits.max(1, keepdims=True)
-    p = np.exp(logits)
+    n = len(targets)
+    groups, place = shape.class_of[targets], shape.place[targets]
+    order = np.argsort(groups, kind="stable")  # a radix sort
+    states, groups, place = states[order], groups[order], place[order]
+    edges = np.searchsorted(groups, np.arange(shape.classes + 1)).tolist()
+    p = states @ w["class"]
+    p += w["class_bias"]
+    rows = np.arange(n)
+    own = p[rows, groups]
+    np.exp(p, out=p)  # the state is within [-1, 1], so the logits are bounded by the weights
     total = p.sum(1)
-    out = logits[np.arange(len(targets)), groups] - np.log(total)
+    found = own - np.log(total)
     back = None
-    n = len(targets)
     if grad is not None:
-        d = p / total[:, None]
-        d[np.arange(n), groups] -= 1
-        d /= n
-        grad["class"] += states.T @ d
-        grad["class_bias"] += d.sum(0)
-        back = d @ w["class"].T
-    order = np.argsort(groups, kind="stable")
-    edges = np.searchsorted(groups[order], np.arange(shape.classes + 1))
+        p /= total[:, None]
+        p[rows, groups] -= 1
+        p /= n
+        grad["class"] += states.T @ p
+        grad["class_bias"] += p.sum(0)
+        back = p @ w["class"].T
     for k in range(shape.classes):
-        rows = order[edges[k] : edges[k + 1]]
-        members = shape.members[k]
-        if not len(rows) or len(members) == 1:
+        low, high, a, b = edges[k], edges[k + 1], shape.edges[k], shape.edges[k + 1]
+        if low == high or b - a == 1:
             continue
-        weights = w["word"][:, members]
-        own = states[rows] @ weights + w["word_bias"][members]
-        own -= own.max(1, keepdims=True)
-        p = np.exp(own)
+        weights, some = w["word"][:, a:b], states[low:high]
+        p = some @ weights
+        p += w["word_bias"][a:b]
+        rows, cols = np.arange(high - low), place[low:high]
+        own = p[rows, cols]
+        np.exp(p, out=p)
         total = p.sum(1)
-        place = shape.place[targets[rows]]
-        out[rows] += own[np.arange(len(rows)), place] - np.log(total)
+        found[low:high] += own - np.log(total)
         if grad is not None:
-            d = p / total[:, None]
-            d[np.arange(len(rows)), place] -= 1
-            d /= n
-            grad["word"][:, members] += states[rows].T @ d
-            grad["word_bias"][members] += d.sum(0)
-            back[rows] += d @ weights.T
+            p /= total[:, None]
+            p[rows, cols] -= 1
+            p /= n
+            grad["word"][:, a:b] += some.T @ p
+            grad["word_bias"][a:b] += p.sum(0)
+            back[low:high] += p @ weights.T
+    out = np.empty_like(found)
+    out[order] = found
+    if back is not None:
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        back = unsorted
     return out, back
 
 
@@ -232,14 +242,17 @@ def train(shape: Shape, flat: np.ndarray, laid: np.ndarray, of: np.ndarray, mome
     """Truncated backpropagation over one layout; changes flat and moments (Adam's, and the number of steps)."""
     w = shape.split(flat)
     before, first = inputs(laid, of, shape.size + 1)
+    any_first = first.any(1).tolist()
     h = np.zeros((laid.shape[1], shape.hidden), np.float32)
     for low in range(0, len(laid), k1):
         high = min(low + k1, len(laid))
         back = max(low, high - k2)
         states, kept = [], []
+        x = w["input"][before[low:high]] + w["bias"]
         for t in range(low, high):
-            h = np.where(first[t][:, None], np.float32(0), h)
-            h = step(w, w["input"][before[t]] + w["bias"], h, kept if t >= back else None)
+            if any_first[t]:
+                h = h * ~first[t][:, None]
+            h = step(w, x[t - low], h, kept if t >= back else None)
             if t >= back:
                 states.append(h)
         use = of[back:high] >= 0
@@ -281,7 +294,7 @@ def train(shape: Shape, flat: np.ndarray, laid: np.ndarray, of: np.ndarray, mome
         flat -= rate * (moments[0] / (1 - 0.9 ** moments[2])) / (np.sqrt(moments[1] / (1 - 0.99 ** moments[2])) + 1e-6)
 
 
-def score_laid(shape: Shape, flat: np.ndarray, laid: np.ndarray, of: np.ndarray, n_docs: int, window: int = 32) -> np.ndarray:
+def score_laid(shape: Shape, flat: np.ndarray, laid: np.ndarray, of: np.ndarray, n_docs: int, window: int = 64) -> np.ndarray:
     """Each document's natural-log probability, unknown words as the unknown word; the state runs on from window to window."""
     w = shape.split(flat)
     before, first = inputs(laid, of, shape.size + 1)
