@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, line_dedup, lm, merkle, packing, quality, secrets, sharding, simhash
+from siltstone.llm import decontaminate, html_text, line_dedup, lm, merkle, packing, quality, secrets, sharding, simhash
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secrets.scan(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"CAST(size(filter(base, x -> x.rank = {k})) AS BIGINT)").alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS[:3])]
@@ -79,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op3_decontaminate": op3_decontaminate,
         "op4_sharding": op4_sharding,
         "op5_packing": op5_packing,
+        "op6_html_text": op6_html_text,
         "op7_secrets": op7_secrets,
         "op8_merkle": op8_merkle,
         "op9_simhash": op9_simhash,
