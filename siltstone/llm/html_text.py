@@ -129,7 +129,7 @@ def vectors(blocks: list[tuple[str, list[str], int, str]]) -> np.ndarray:
         n = len(text)
         row[at:] = (
             np.log1p(n) / 8, np.log1p(len(words)) / 6, min(1, linked / n), n < 25, n > 120, text[-1] in ".!?\"»”", text.count(",") / max(1, len(words)), before / total, k / len(blocks), len(path) / 12,
-            n / total, any(c.isdigit() for c in text), "©" in text or "|" in text or "·" in text, k == 0,
+            n / total, any(c.isdigit() for c in text), "©" in text, k == 0,
         )
         before += n
     return out
@@ -278,6 +278,8 @@ def made_page(rng: np.random.Generator, words: list[str]) -> tuple[str, list[int
 
     def prose() -> str:
         text = say(int(np.exp(rng.uniform(0.7, 5))))
+        if rng.random() < 0.06:
+            text = text.replace(" ", " | ")
         if rng.random() < 0.2:
             text = f"<b>{text}</b>" if rng.random() < 0.5 else f"<a href='/x'>{text[:30]}</a> {text[30:]}"
         return text + (pick([".", "", "!", "?"]) if rng.random() < 0.9 else "<br>" + say(4))
