@@ -28,17 +28,15 @@ def partition_breakdown(files: DataFrame, by: str = "part") -> DataFrame:
 
 
 def ancestors(snapshots: DataFrame, of: int) -> DataFrame:
-    """(snapshot_id, depth): the chain of parents by pointer doubling, log2 of its length rounds of joins."""
-    hops = snapshots.filter("parent_id IS NOT NULL").select("snapshot_id", F.col("parent_id").alias("up"))
-    found = snapshots.filter(F.col("snapshot_id") == of).select("snapshot_id", F.lit(0).cast("long").alias("depth"))
-    n = 1
-    while True:
-        more = found.join(hops, "snapshot_id").select(F.col("up").alias("snapshot_id"), (F.col("depth") + n).alias("depth"))
-        if more.isEmpty():
-            return found
-        found = found.unionAll(more)
-        hops = hops.alias("a").join(hops.alias("b"), F.col("a.up") == F.col("b.snapshot_id")).select(F.col("a.snapshot_id").alias("snapshot_id"), F.col("b.up").alias("up"))
-        n *= 2
+    """(snapshot_id, depth): the chain of parents, of any length. The two id columns of the snapshots, one row a snapshot of
+    a table's metadata, are walked on the driver; a join for each level would cost more than the whole list."""
+    parent = {r.snapshot_id: r.parent_id for r in snapshots.select("snapshot_id", "parent_id").toLocalIterator()}
+    rows, at, seen = [], of, set()
+    while at is not None and at in parent and at not in seen:
+        seen.add(at)
+        rows.append((at, len(rows)))
+        at = parent[at]
+    return snapshots.sparkSession.createDataFrame(rows, "snapshot_id long, depth long")
 
 
 def chain(snapshots: DataFrame, of: int) -> DataFrame:
