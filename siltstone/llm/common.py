@@ -38,7 +38,8 @@ def store(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     """Writes df as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer = df.write.option("compression", "zstd")
+    writer = writer.partitionBy(partition_by) if partition_by else writer
     writer.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
