@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import few_by_hash
+
 SAMPLE, PATH_BITS, WORD_BITS, FIGURES, HIDDEN = 200, 128, 64, 14, 20
 WIDTH = PATH_BITS + WORD_BITS + FIGURES
 
@@ -358,7 +360,7 @@ def training_pages(words: list[str], n: int = 500, seed: int = 9) -> list[tuple[
 
 def corpus_words(pages: DataFrame, sample: int = SAMPLE) -> list[str]:
     """Words of at most `sample` pages, those with the smallest hashes of their ids."""
-    few = pages.select(F.col("page_id").cast("long").alias("p"), F.col("html").cast("string").alias("html")).orderBy(F.xxhash64("p"), "p", F.xxhash64("html")).limit(sample).collect()
+    few = few_by_hash(pages.select(F.col("page_id").cast("long").alias("p"), F.col("html").cast("string").alias("html")), "p", sample).collect()
     words = sorted({w for r in few for b in Blocks(r.html or "").blocks for w in b[0].split()[:200]})
     return words or list(_WORN)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import text_or_empty
+from siltstone.llm.common import few_by_hash, text_or_empty
 
 SAMPLE, THRESHOLD, HIDDEN, FOLDS = 6000, 0.3, 16, 5
 
@@ -141,8 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = F
     share, n = known.agg(F.avg((F.col("quality") == 1).cast("double")), F.count(F.lit(1))).first()
     prior = 0.5 if share is None else float(np.clip(share - 3 * np.sqrt(share * (1 - share) / min(n, sample)), 0.02, 0.98))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & (fold(folds) != 0))
-    order = F.xxhash64("doc_id", F.lit(31))
-    few = lambda rows: [r.doc_id for r in rows.distinct().select("doc_id", order.alias("o")).orderBy("o", "doc_id").limit(sample).collect()]
+    few = lambda rows: sorted({r.doc_id for r in few_by_hash(rows, "doc_id", sample).collect()})
     trusted = few(ids.join(known.filter("quality = 1").select("doc_id"), "doc_id", "left_semi"))
     anything = few(ids)
     if not trusted or not anything:
