@@ -344,21 +344,30 @@ def trained(docs: DataFrame, shape: Shape, head: list[bytes], rounds: int = ROUN
     flat = shape.start()
     vocabulary = spark.sparkContext.broadcast({w: k for k, w in enumerate(head[: shape.size])})
     sent_shape = spark.sparkContext.broadcast(shape)
+    kind = "<u2" if shape.size < 0xFFFF else "<u4"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, unknown = vocabulary.value.get, sent_shape.value.size
+        for batch in batches:
+            ids = [np.fromiter(map(get, words, repeat(unknown)), kind, len(words)).tobytes() for words in map(tokens, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+
+    encoded = store(docs.mapInArrow(encode, "ids binary"), "lm-ids")  # texts are split once, not in every round
     for number in range(rounds):
         sent = spark.sparkContext.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
-            own, get, shape = sent.value.copy(), vocabulary.value.get, sent_shape.value
+            own, shape = sent.value.copy(), sent_shape.value
             moments, seen = [np.zeros_like(own), np.zeros_like(own), 0], 0
-            encoded = (np.fromiter(map(get, words, repeat(shape.size)), np.int32, len(words)) for batch in batches for words in map(tokens, batch.column(1).to_pylist()))
-            for chunk in _chunks(encoded, 1_500_000):
+            ids = (np.frombuffer(x, kind).astype(np.int32) for batch in batches for x in batch.column(0).to_pylist())
+            for chunk in _chunks(ids, 1_500_000):
                 n = sum(map(len, chunk))
                 seen += n
                 train(shape, own, *lay_out(chunk, _lanes(n, lanes)), moments, 0.01 / (1 + 2 * number))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([own.tobytes()], pa.binary())], ["k", "n", "w"])
 
-        copies = store(docs.mapInArrow(run, "k long, n double, w binary"), "lm-copies")
+        copies = store(encoded.mapInArrow(run, "k long, n double, w binary"), "lm-copies")
         left = copies.count()
         while left > 1:
             copies = copies.withColumn("k", F.floor(F.col("k") / fan_in)).groupBy("k").applyInArrow(_average, "k long, n double, w binary")
