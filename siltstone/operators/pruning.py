@@ -17,19 +17,33 @@ from siltstone.operators.predicates import And, Filter, Term, push_negation, ter
 
 @dataclass(frozen=True)
 class Stats:
-    """Expressions of one column's statistics. exact: the bounds are values that occur, not truncated ones."""
+    """The columns of one column's statistics. exact: the bounds are values that occur, not truncated ones."""
 
-    least: Column
-    greatest: Column
-    nulls: Column
-    rows: Column
+    name: str
     kind: str = "string"
     exact: bool = True
+    rows_name: str = "rows"
+
+    @property
+    def least(self) -> Column:
+        return F.col(f"{self.name}_min")
+
+    @property
+    def greatest(self) -> Column:
+        return F.col(f"{self.name}_max")
+
+    @property
+    def nulls(self) -> Column:
+        return F.col(f"{self.name}_nulls")
+
+    @property
+    def rows(self) -> Column:
+        return F.col(self.rows_name)
 
 
 def stats_of(name: str, kind: str, exact: bool = True, rows: str = "rows") -> Stats:
     """Statistics kept in columns <name>_min, <name>_max and <name>_nulls."""
-    return Stats(F.col(f"{name}_min"), F.col(f"{name}_max"), F.col(f"{name}_nulls"), F.col(rows), kind, exact)
+    return Stats(name, kind, exact, rows)
 
 
 def _prefix_skips(t: Term, s: Stats) -> Column:

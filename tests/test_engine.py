@@ -408,3 +408,11 @@ def test_entry_and_registry(spark):
     names, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(names) and len(names) > 150
     assert math.isfinite(len(sql))
+
+
+def test_imports_without_a_session():
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True, check=True)
+    assert int(out.stdout.split()[0]) > 150
