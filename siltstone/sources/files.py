@@ -94,3 +94,59 @@ def row_groups(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInPandas(run, "path string, row_group int, start long, rows long, bytes long")
+
+
+def column_tree(schema, name: str = "", field_id: int | None = None) -> dict:
+    """{name, id, kind, children} of an Arrow schema or type, with Parquet field ids; list and map wrappers folded."""
+    import pyarrow as pa
+
+    def own_id(field) -> int | None:
+        text = (field.metadata or {}).get(b"PARQUET:field_id")
+        return int(text) if text else None
+
+    if isinstance(schema, pa.Schema):
+        return {"name": name, "id": field_id, "kind": "struct", "children": [column_tree(f.type, f.name, own_id(f)) for f in schema]}
+    children, kind = [], "primitive"
+    if pa.types.is_struct(schema):
+        kind, children = "struct", [column_tree(schema.field(k).type, schema.field(k).name, own_id(schema.field(k))) for k in range(schema.num_fields)]
+    elif pa.types.is_map(schema):
+        kind, children = "map", [column_tree(schema.key_type, "key", own_id(schema.key_field)), column_tree(schema.item_type, "value", own_id(schema.item_field))]
+    elif pa.types.is_list(schema) or pa.types.is_large_list(schema):
+        kind, children = "list", [column_tree(schema.value_type, "element", own_id(schema.value_field))]
+    return {"name": name, "id": field_id, "kind": kind, "children": children}
+
+
+def parquet_columns(spark: SparkSession, path: str) -> list[tuple[str, int | None, str]]:
+    """(dotted name, field id, kind) of a file's columns, from its footer."""
+    import io
+
+    import pyarrow.parquet as pq
+
+    content = spark.read.format("binaryFile").load(path).select("content").first().content
+    out = []
+
+    def walk(node: dict, prefix: str) -> None:
+        for c in node["children"]:
+            out.append((prefix + c["name"], c["id"], c["kind"]))
+            walk(c, f"{prefix}{c['name']}.")
+
+    walk(column_tree(pq.read_schema(io.BytesIO(content))), "")
+    return out
+
+
+def location(text: str) -> tuple[str, str]:
+    """(scheme, path) of a location; an unserved scheme is an error, never a relative path."""
+    scheme, found, rest = text.partition("://")
+    if not found:
+        return ("file", text[len("file:") :]) if text.startswith("file:") else ("file", text)
+    if scheme not in ("file", "s3", "s3a", "gs", "hdfs", "webhdfs", "abfss", "viewfs"):
+        raise ValueError(f"unserved scheme {scheme}")
+    return scheme, rest
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a scratch file (never into a table), through Hadoop's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(data))
+    out.close()
