@@ -301,3 +301,175 @@ def scan_tasks(cut: DataFrame, files: DataFrame, size: int, open_cost: int = 4 <
     weighed = cut.join(files.select("file", "part", "n_deletes"), "file").withColumn("weight", F.greatest(F.col("length"), (1 + F.col("n_deletes")) * open_cost).cast("long"))
     bins = packed(weighed, ["part"], ["file", "offset"], "weight", lambda sizes: first_fit(sizes, size, lookback, True))
     return bins.groupBy("part", "bin").agg(F.count(F.lit(1)).alias("splits"), F.sum("weight").alias("weight"))
+
+
+# ---- merged tables: splits, manifests, tags, roll back
+
+
+def key_splits(files: DataFrame, by: list[str], target: int, open_cost: int = 4 << 20, one_pass: bool = False) -> DataFrame:
+    """Splits of keyed buckets: files (file, lo, hi, bytes, level, deleted). A bucket whose files need no merge (all above
+    level 0, without deletes, and of one level or read by vectors) is packed file by file; else its sections are."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["lo", "hi", "file"], kind="stable")
+        raw = bool((group.level > 0).all() and (group.deleted == 0).all() and (one_pass or group.level.nunique() == 1))
+        if raw:
+            unit = pd.Series(range(len(group)), index=group.index)
+        else:
+            before = group.hi.cummax().shift()
+            unit = (before.isna() | (group.lo > before)).cumsum() - 1
+        weights = group.groupby(unit)["bytes"].sum().clip(lower=open_cost)
+        split = unit.map(dict(zip(weights.index, ordered(weights.tolist(), target), strict=True)))
+        alone = split.map(split.value_counts()) == 1
+        return group.assign(split=split.astype("int64"), raw=raw | (alone & (group.deleted == 0)))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    return files.groupBy(*by).applyInPandas(run, f"{kinds}, split long, raw boolean")
+
+
+def append_splits(files: DataFrame, by: list[str], target: int, open_cost: int = 4 << 20) -> DataFrame:
+    return packed(files, by, ["min_seq", "file"], "bytes", lambda sizes: ordered(sizes, target, open_cost))
+
+
+def engine_partitions(sizes: list[tuple[int, bool]], target: int, open_cost: int, parallelism: int) -> list[int]:
+    """Partition numbers of files (bytes, raw) in split order: a file that needs a merge keeps its own, raw ones are repacked
+    up to min(target, max(open cost, raw bytes / parallelism))."""
+    bound = min(target, max(open_cost, sum(n + open_cost for n, raw in sizes if raw) // max(1, parallelism)))
+    out, number, at = [], 0, 0
+    reserved = sum(not raw for _, raw in sizes)
+    merged = 0
+    for n, raw in sizes:
+        if not raw:
+            out.append(merged)
+            merged += 1
+            continue
+        if at and at + n + open_cost > bound:
+            number, at = number + 1, 0
+        at += n + open_cost
+        out.append(reserved + number)
+    return out
+
+
+def merge_small_manifests(sizes: list[int], changed: list[bool], target: int, min_count: int, full_threshold: int) -> tuple[str, list[int | None]]:
+    """(FULL, MINOR or NONE, bins): a full rewrite if the manifests that must change (small, or with deletions) reach the
+    threshold; else bins closed by size in list order, the leftover merged by count. A manifest kept whole has no bin."""
+    must = [c or s < target for s, c in zip(sizes, changed, strict=True)]
+    if sizes and sum(s for s, m in zip(sizes, must, strict=True) if m) >= full_threshold:
+        return "FULL", [0 if m else None for m in must]
+    bins: list[list[int]] = [[]]
+    total = 0
+    for k, s in enumerate(sizes):
+        bins[-1].append(k)
+        total += s
+        if total >= target:
+            bins.append([])
+            total = 0
+    out: list[int | None] = [None] * len(sizes)
+    number = 0
+    for i, own in enumerate(bins):
+        closed = i < len(bins) - 1
+        if len(own) > 1 and (closed or len(own) >= min_count):
+            for k in own:
+                out[k] = number
+            number += 1
+    return ("MINOR" if number else "NONE"), out
+
+
+def tag_deletion(tag_files: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """Files (path) only the tag holds: those of neither the tag before nor the nearer of the earliest snapshot and the tag after."""
+    return tag_files.select("path").distinct().join(neighbours.select("path").distinct(), "path", "left_anti")
+
+
+def tag_neighbours(tags: list[int], tag: int, snapshots: list[int]) -> list[int] | None:
+    """The snapshots whose files are skipped when a tag goes; None if only the tag file goes."""
+    if tag in snapshots or tags.count(tag) > 1:
+        return None
+    before = [t for t in tags if t < tag]
+    after = [t for t in tags if t > tag] + ([min(snapshots)] if snapshots else [])
+    return ([max(before)] if before else []) + ([min(after)] if after else [])
+
+
+def removed_by_expiry(entries: DataFrame, first_kept: int, tag_files: DataFrame) -> DataFrame:
+    """Data files that expiring the snapshots before first_kept frees: the last entry up to first_kept deletes them, and no
+    tag holds them. entries (snapshot_id, ord, path, kind 0 add, 1 delete)."""
+    own = entries.filter(F.col("snapshot_id") <= first_kept)
+    last = own.groupBy("path").agg(F.max_by("kind", F.struct("snapshot_id", "ord")).alias("kind"))
+    return last.filter("kind = 1").select("path").join(tag_files.select("path").distinct(), "path", "left_anti")
+
+
+def metadata_cleanup(items: DataFrame, uses: DataFrame, pinned: int) -> DataFrame:
+    """Specs or schemas (id) that no retained snapshot's use (id) reaches and that isn't the current one."""
+    return items.filter(F.col("id") != pinned).join(uses.select("id").distinct(), "id", "left_anti")
+
+
+def stats_columns(fields: list, partitions: list[str], limit: int = 32, named: list[str] | None = None) -> list[str]:
+    """Dotted paths whose statistics are kept: the listed ones, or the first `limit` leaves of the data columns (below zero:
+    all). fields: (name, None or child fields)."""
+    own = [f for f in fields if f[0] not in partitions]
+    out: list[str] = []
+    wanted = None if named is None else set(named)
+
+    def walk(some: list, prefix: str, budget: float) -> int:
+        used = 0
+        for name, children in some:
+            if used >= budget:
+                break
+            path = prefix + name
+            if wanted is not None and not any(path == w or path.startswith(w + ".") or w.startswith(path + ".") for w in wanted):
+                continue
+            out.append(path)
+            used += walk(children, path + ".", budget - used) if children else 1
+        return used
+
+    walk(own, "", math.inf if limit < 0 or wanted is not None else limit)
+    return out
+
+
+def zorder_refusal(columns: list[str], partitions: list[str], schema: list[str], with_stats: list[str], clustered: bool) -> str | None:
+    if clustered:
+        return "the table is clustered"
+    for c in columns:
+        if c in partitions:
+            return f"{c} is a partition column"
+        if c not in schema:
+            return f"{c} is not a column"
+        if c not in with_stats:
+            return f"{c} has no statistics"
+    return None
+
+
+def optimize_kind(clustered: bool, zorder_by: list[str]) -> str:
+    return "CLUSTERING" if clustered and not zorder_by else "ZORDER" if zorder_by else "COMPACTION"
+
+
+def rollback_verdict(chain: list[int], known: list[int], current: int, target: int) -> tuple[str, list[int]]:
+    """UNKNOWN_SNAPSHOT, NOTHING_TO_DO, MOVES or NOT_AN_ANCESTOR, and the snapshots left behind (newest first)."""
+    if target not in known:
+        return "UNKNOWN_SNAPSHOT", []
+    if target == current:
+        return "NOTHING_TO_DO", []
+    if target in chain:
+        return "MOVES", chain[: chain.index(target)]
+    return "NOT_AN_ANCESTOR", list(chain)
+
+
+def rollback_target(chain: DataFrame, at: Column) -> DataFrame:
+    """The newest ancestor strictly before a time."""
+    return chain.filter(F.col("at_time") < at).agg(F.max_by("snapshot_id", "at_time").alias("snapshot_id"))
+
+
+def rewrite_position_deletes(files: DataFrame, target: int, format_version: int, min_files: int = 5) -> DataFrame:
+    """Groups of positional-delete files outside the size window; tables with vectors are refused."""
+    if format_version >= 3:
+        raise ValueError("positional deletes of this format version are vectors")
+    odd = files.filter((F.col("size") < 0.75 * target) | (F.col("size") > 1.8 * target))
+    return odd.groupBy("part").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")).filter((F.col("files") >= min_files) | (F.col("bytes") > target))
+
+
+def summary(plans: dict[str, DataFrame]) -> DataFrame:
+    """One line a procedure: how many rows its plan has."""
+    out = None
+    for name, plan in plans.items():
+        line = plan.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("procedure"), "n", F.when(F.col("n") > 0, "WOULD_RUN").otherwise("NOTHING_TO_DO").alias("verdict"))
+        out = line if out is None else out.unionAll(line)
+    return out
