@@ -7,7 +7,11 @@ arithmetic on key columns only.
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,10 +52,32 @@ FIXTURES = {
 _NAME = re.compile(r"\{(\w+)\}")
 
 
+#: Fixtures that stand for data files on disk: written once a session, in file order, and scanned from there.
+STORED = {"data_rows": ["file_id", "pos"]}
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a fixture: in the shared folder of a cluster, else a local one that goes with the process."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return f"{base.rstrip('/')}/siltstone-fixture-{uuid.uuid4().hex}"
+    folder = tempfile.mkdtemp(prefix="siltstone-fixture-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"{folder}/t"
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return sql(spark, sf_dir, FIXTURES[name])
+    if name not in STORED:
+        return sql(spark, sf_dir, FIXTURES[name])
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = scratch(spark)
+        sql(spark, sf_dir, FIXTURES[name]).repartitionByRange(STORED[name][0]).sortWithinPartitions(*STORED[name]).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
 
 
 def sql(spark: SparkSession, sf_dir: str, query: str, **frames: DataFrame) -> DataFrame:

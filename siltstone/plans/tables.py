@@ -4,23 +4,16 @@ from __future__ import annotations
 
 import json
 import struct
-import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import codecs
 from siltstone.plans.facade import open_table
-from siltstone.plans.fixtures import frame, sql
+from siltstone.plans.fixtures import frame, scratch, sql
 from siltstone.sources import avro, delta, files, iceberg, paimon
 
 
-def scratch(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/siltstone-table-{uuid.uuid4().hex}"
-
-
 def nations(spark, d) -> list:
     """25 rows: enough for a table's metadata."""
     return frame(spark, d, "nation").orderBy("n_nationkey").collect()
