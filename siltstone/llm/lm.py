@@ -414,7 +414,7 @@ def score(docs: DataFrame, head: int = HEAD, vocabulary: int = VOCABULARY, folds
         get, uid = index.get, TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            for low, high in _slices(column, 8 << 20):
+            for low, high in _slices(column, 4 << 20):
                 split = [tokens(t) for t in column.slice(low, high - low).to_pylist()]
                 sizes = np.fromiter(map(len, split), np.int64, len(split))
                 flat_words = [w for own in split for w in own]
