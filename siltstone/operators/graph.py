@@ -9,11 +9,13 @@ LEVELS = 8
 
 
 def closure(edges: DataFrame, start: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """Nodes reachable from start (id). The tree's depth is fixed by the formats (table, snapshot, manifest list, manifest,
-    file, rows), so it is a fixed number of joins."""
+    """Nodes reachable from start (id): a join for each level that has nodes, and the formats fix how many there can be
+    (table, snapshot, manifest list, manifest, file, rows)."""
     found, front = start.select("id").distinct(), start.select("id").distinct()
     for _ in range(levels):
         front = edges.join(front, edges.parent == front.id, "left_semi").select(F.col("child").alias("id")).distinct()
+        if front.isEmpty():
+            break
         found = found.unionAll(front)
     return found.distinct()
 
@@ -24,6 +26,8 @@ def tree(nodes: DataFrame, edges: DataFrame, root: str, levels: int = LEVELS) ->
     out = at
     for k in range(1, levels + 1):
         at = edges.join(at, F.col("parent") == F.col("id")).select(F.col("child").alias("id"), F.lit(k).cast("long").alias("depth"), F.concat("path", F.array("child")).alias("path"))
+        if at.isEmpty():
+            break
         out = out.unionAll(at)
     return out
 
