@@ -52,8 +52,8 @@ FIXTURES = {
 _NAME = re.compile(r"\{(\w+)\}")
 
 
-#: Fixtures that stand for data files on disk: written once a session, in file order, and scanned from there.
-STORED = {"data_rows": ["file_id", "pos"]}
+#: Fixtures that stand for files on disk (data, and the statistics of manifests): written once a session, in file order, and scanned from there.
+STORED = {"data_rows": ["file_id", "pos"], "file_stats": ["file_id"]}
 _stored: dict[tuple[str, str, str], str] = {}
 
 
