@@ -1,19 +1,22 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare-word seeds that lose no copy, then Smith-Waterman alignment.
 
-Words are lower-cased runs free of white space and ASCII punctuation. The items' word n-grams are looked up in every
-document, once to count in how many documents each occurs and once to align. An item's seeds are the rarest n-grams of its
-windows: of any `window` n-grams in a row, the one in the fewest documents. So every untouched run of window + n - 1 item
-words holds a seed, however common the passage is, and common phrases seed nothing when something rarer stands beside
-them. A seed found in a document places the item there; overlapping places are joined, and the words around are aligned
-with the item by Smith-Waterman over words (match 2, mismatch and gap -1). A copy's score is its share of the item's score
-against itself; `threshold` and above counts as a leak, so edited, shortened and paraphrased copies are found.
+Words are lower-cased runs free of white space and ASCII punctuation. A copy's score is that of the best alignment of the
+item with a passage by Smith-Waterman over words (match 2, mismatch and gap -1), as a share of the item's score against
+itself; `threshold` and above counts as a leak, so edited, shortened and paraphrased copies are found.
+
+The seeds only rule out what cannot reach the threshold. A passing alignment matches at least threshold * m of the item's
+m words and covers at most m words and the gaps that the surplus pays for. So of the item's rarest words, as many as may
+be unmatched and `need` more, at least `need` stand within one such stretch of the document, whatever was edited. The words
+are counted over the documents first, in how many each occurs; then each stretch with `need` seeds is widened to hold any
+passing alignment, overlapping stretches are joined, and those that hold enough of the item's words are aligned. The result
+is the one of aligning every item with every whole document.
 
 The items are taken in blocks of at most `block_bytes` of text, so what is sent to the executors is bounded whatever the
-benchmark's size; each block is a pass over the documents. Nothing is shuffled but the counts of the items' own n-grams.
+benchmark's size; each block is a pass over the documents. Nothing is shuffled but the counts of the items' own words.
 
-Defined results: null or empty texts, on either side, leak nothing; an item with fewer than n words is one seed as a
-whole; items that repeat an id are items of their own; repeated documents are found once each; a null id is carried; an
-empty table gives no rows; other columns are ignored.
+Defined results: null or empty texts, on either side, leak nothing; items that repeat an id are items of their own;
+repeated documents are found once each; a null id is carried; an empty table gives no rows; other columns are ignored.
+n_seeds is the number of the document's words that are seeds of the item.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import text_or_empty
 
-N, WINDOW, THRESHOLD, MATCH, PENALTY, BLOCK_BYTES = 3, 6, 0.6, 2, 1, 16 << 20
+THRESHOLD, MATCH, PENALTY, BLOCK_BYTES = 0.6, 2, 1, 16 << 20
 
 _PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _TABLE = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
@@ -38,10 +41,9 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Block:
-    """Items of one block: word numbers from 1 (0 is any other word), and the n-grams' places sorted by key."""
+    """Items of one block, as word numbers from 1 (0 is any other word)."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int = N):
-        self.n = n
+    def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.words = [], []
         self.vocabulary: dict[bytes, int] = {}
         for item, text in items:
@@ -49,57 +51,55 @@ class Block:
             if words:
                 self.ids.append(item)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
-        places = [(k, p, key) for k, w in enumerate(self.words) for p, key in enumerate(self.keys(w, len(w) < n).tolist())]
-        self.item = np.array([x[0] for x in places], np.int64)
-        self.at = np.array([x[1] for x in places], np.int64)
-        key = np.array([x[2] for x in places], np.uint64)
-        self.grams, self.gram = np.unique(key, return_inverse=True)
-        self.short = sorted({len(w) for w in self.words if len(w) < n})
-
-    def keys(self, words: np.ndarray, whole: bool = False, n: int | None = None) -> np.ndarray:
-        """Hashes of the n-grams; zero where a word is not of the block. whole: the sequence as one gram."""
-        n = len(words) if whole else n or self.n
-        count = len(words) - n + 1
-        if count <= 0:
-            return np.zeros(0, np.uint64)
-        key, known = np.full(count, n, np.uint64), np.ones(count, bool)
-        for k in range(n):
-            part = words[k : k + count]
-            known &= part > 0
-            key = (key ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        key = key | np.uint64(1)
-        return np.where(known, key, np.uint64(0))
 
     def numbers(self, text: str) -> np.ndarray:
         words = words_of(text)
         get = self.vocabulary.get
         return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
-    def found(self, words: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in words and the index in grams (sorted hashes) of every n-gram that is among them."""
-        if not len(grams):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        positions, which = [], []
-        for n in [self.n, *self.short]:
-            keys = self.keys(words, n=n)
-            at = np.flatnonzero(keys)
-            index = np.minimum(np.searchsorted(grams, keys[at]), len(grams) - 1)
-            hit = grams[index] == keys[at]
-            positions.append(at[hit])
-            which.append(index[hit])
-        return np.concatenate(positions), np.concatenate(which)
-
-    def seeds(self, documents: np.ndarray, window: int = WINDOW) -> np.ndarray:
-        """Of any `window` n-grams of an item in a row, the one found in the fewest documents (the first such): mask over places."""
-        chosen = np.zeros(len(self.item), bool)
-        cost = documents[self.gram]
-        for k in range(len(self.ids)):
-            own = np.flatnonzero(self.item == k) if len(self.ids) < 2 else np.arange(*np.searchsorted(self.item, [k, k + 1]))
-            for first in range(max(1, len(own) - window + 1)):
-                run = own[first : first + window]
-                chosen[run[np.argmin(cost[run])]] = True
-        return chosen
+
+class Seeds:
+    """Each item's seeds, given the number of documents that hold each word: word w is a seed of items[edges[w] : edges[w + 1]]."""
+
+    def __init__(self, block: Block, documents: np.ndarray, threshold: float):
+        m = np.array([len(w) for w in block.words], np.int64)
+        self.score = threshold * MATCH * m
+        self.matched = np.clip(np.ceil(self.score / MATCH - 1e-9).astype(np.int64), 1, m)
+        self.span = m + np.maximum((MATCH * m - self.score) // PENALTY, 0).astype(np.int64)
+        self.need = -(-self.matched // 3)
+        pairs = []
+        for k, words in enumerate(block.words):
+            rarest = words[np.lexsort((words, documents[words]))][: m[k] - self.matched[k] + self.need[k]]
+            own = np.unique(rarest)
+            pairs.append(np.stack([own, np.full(len(own), k)]))
+        word, item = np.concatenate(pairs, 1)
+        order = np.argsort(word, kind="stable")
+        self.items = item[order]
+        self.edges = np.searchsorted(word[order], np.arange(len(block.vocabulary) + 2))
+
+    def stretches(self, words: np.ndarray) -> Iterator[tuple[int, int, list[list[int]]]]:
+        """(item, seeds, joined [start, end)) for each item with enough seeds close together in a document."""
+        at = np.flatnonzero(words)
+        low, count = self.edges[words[at]], self.edges[words[at] + 1] - self.edges[words[at]]
+        total = int(count.sum())
+        if not total:
+            return
+        item = self.items[np.repeat(low - np.cumsum(count) + count, count) + np.arange(total)]
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], np.repeat(at, count)[order]
+        last = np.arange(total) + self.need[item] - 1
+        end = np.minimum(last, total - 1)
+        good = np.flatnonzero((last < total) & (item[end] == item) & (place[end] - place < self.span[item]))
+        joined: dict[int, list[list[int]]] = {}
+        for k, p in zip(item[good].tolist(), place[good].tolist(), strict=True):
+            span, runs = int(self.span[k]), joined.setdefault(k, [])
+            low, high = max(0, p - span), min(len(words), p + span)
+            if runs and low < runs[-1][1]:
+                runs[-1][1] = high
+            else:
+                runs.append([low, high])
+        for k, runs in joined.items():
+            yield k, int(np.searchsorted(item, k + 1) - np.searchsorted(item, k)), runs
 
 
 def align(item: np.ndarray, passage: np.ndarray, match: int = MATCH, penalty: int = PENALTY) -> tuple[int, int, int]:
@@ -129,58 +129,48 @@ def align(item: np.ndarray, passage: np.ndarray, match: int = MATCH, penalty: in
     return best, *best_at
 
 
-def leaks_in(block: Block, words: np.ndarray, grams: np.ndarray, places: list[np.ndarray], threshold: float) -> list[tuple[int, float, int, int, int]]:
+def leaks_in(block: Block, words: np.ndarray, seeds: Seeds) -> list[tuple[int, float, int, int, int]]:
     """(item index, score, seeds, start, end) of the best passage for each item that leaks."""
-    position, which = block.found(words, grams)
-    if not len(position):
-        return []
-    spans: dict[int, set[int]] = {}
-    for p, g in zip(position.tolist(), which.tolist(), strict=True):
-        for place in places[g].tolist():
-            spans.setdefault(int(block.item[place]), set()).add(p - int(block.at[place]))
     out = []
-    for item, starts in spans.items():
-        own = block.words[item]
-        pad = max(2, len(own) // 4)
-        best, run = (0, 0, 0), []
-        need = threshold * MATCH * len(own)
-        for first in sorted(starts):
-            low, high = max(0, first - pad), min(len(words), first + len(own) + pad)
-            if run and low < run[-1][1]:
-                run[-1][1] = max(high, run[-1][1])
-            else:
-                run.append([low, high])
+    for item, n_seeds, runs in seeds.stretches(words):
+        own, matched, span = block.words[item], int(seeds.matched[item]), int(seeds.span[item])
+        distinct = np.unique(own)
+        best = (0, 0, 0)
         tried = {}
-        for low, high in run:
+        for low, high in runs:
             passage = words[low:high]
             key = passage.tobytes()  # a passage repeated within the document is aligned once
             if key not in tried:
-                tried[key] = align(own, passage) if MATCH * np.isin(own, passage).sum() >= need else (0, 0, 0)
+                held = distinct[np.minimum(np.searchsorted(distinct, passage), len(distinct) - 1)] == passage
+                within = np.cumsum(held)
+                within[span:] -= within[:-span].copy()
+                enough = within.max() >= matched and np.isin(own, passage).sum() >= matched
+                tried[key] = align(own, passage) if enough else (0, 0, 0)
             score, a, b = tried[key]
             if score > best[0]:
                 best = (score, low + a, low + b)
-        if best[0] >= need:
-            out.append((item, best[0] / (MATCH * len(own)), len(starts), best[1], best[2]))
+        if best[0] > 0 and best[0] >= seeds.score[item]:
+            out.append((item, best[0] / (MATCH * len(own)), n_seeds, best[1], best[2]))
     return out
 
 
-def blocks_of(spark: SparkSession, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, n: int = N) -> Iterator[Block]:
+def blocks_of(spark: SparkSession, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """The items in blocks of bounded text, one after the other."""
     items, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).toLocalIterator():
         if items and size + len(row.text) > block_bytes:
-            yield Block(items, n)
+            yield Block(items)
             items, size = [], 0
         items.append((row.item_id, row.text))
         size += len(row.text)
     if items:
-        yield Block(items, n)
+        yield Block(items)
 
 
 LEAKS = "doc_id long, item_id long, score double, n_seeds long, start_word long, end_word long"
 
 
-def _of_block(docs: DataFrame, block: Block, window: int, threshold: float) -> DataFrame | None:
+def _of_block(docs: DataFrame, block: Block, threshold: float) -> DataFrame | None:
     if not block.ids:
         return None
     spark = docs.sparkSession
@@ -188,28 +178,24 @@ def _of_block(docs: DataFrame, block: Block, window: int, threshold: float) -> D
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        seen = np.zeros(len(own.grams), np.int64)
+        seen = np.zeros(len(own.vocabulary) + 1, np.int64)
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                seen[np.unique(own.found(own.numbers(text), own.grams)[1])] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["gram", "n"])
-
-    documents = np.zeros(len(block.grams), np.int64)
-    for r in docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        documents[r.gram] = r.n
-    chosen = np.flatnonzero(block.seeds(documents, window))
-    used, place_of = np.unique(block.gram[chosen], return_inverse=True)
-    grams = block.grams[used]
-    places = [chosen[place_of == k] for k in range(len(used))] if len(used) < 5000 else _grouped(chosen, place_of, len(used))
-    seeds = spark.sparkContext.broadcast((grams, places))
+                seen[own.numbers(text)] += 1  # once a document: repeated indexes are added once
+        at = np.flatnonzero(seen[1:]) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["word", "n"])
+
+    documents = np.zeros(len(block.vocabulary) + 1, np.int64)
+    for r in docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
+        documents[r.word] = r.n
+    seeds = spark.sparkContext.broadcast(Seeds(block, documents, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, (grams, places) = sent.value, seeds.value
+        own, chosen = sent.value, seeds.value
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(doc, own.ids[item], *rest) for item, *rest in leaks_in(own, own.numbers(text), grams, places, threshold)]
+                rows += [(doc, own.ids[item], *rest) for item, *rest in leaks_in(own, own.numbers(text), chosen)]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in LEAKS.split(", ")])
@@ -217,18 +203,13 @@ def _of_block(docs: DataFrame, block: Block, window: int, threshold: float) -> D
     return docs.mapInArrow(run, LEAKS)
 
 
-def _grouped(values: np.ndarray, group: np.ndarray, n: int) -> list[np.ndarray]:
-    order = np.argsort(group, kind="stable")
-    return np.split(values[order], np.searchsorted(group[order], np.arange(1, n)))
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW, n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, start_word, end_word): each item that a document holds, with its best passage."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     out = None
-    for block in blocks_of(spark, benchmark, block_bytes, n):
-        found = _of_block(texts, block, window, threshold)
+    for block in blocks_of(spark, benchmark, block_bytes):
+        found = _of_block(texts, block, threshold)
         if found is not None:
             out = found if out is None else out.unionAll(found)
     return out if out is not None else spark.createDataFrame([], LEAKS)

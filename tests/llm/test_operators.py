@@ -178,6 +178,37 @@ def test_common_leaks_keep_their_seeds(spark):
     assert {r.doc_id for r in got} == set(range(200))
 
 
+def test_leaks_are_those_of_brute_force_alignment(spark):
+    rng = np.random.default_rng(12)
+    items = [[f"i{k}w{j}" if rng.random() < 0.5 else f"c{rng.integers(40)}" for j in range(n)] for k, n in enumerate((8, 12, 16, 16, 39, 59))]
+    texts = []
+    for words in items:
+        for every in (3, 4, 5, 6, 7, 8):
+            for kind in range(3):
+                out = []
+                for j, w in enumerate(words):
+                    edit = j % every == every - 1
+                    out += [w] if not edit else [["edited"], [], [w, "put"]][kind]
+                filler = [f"c{x}" for x in rng.integers(0, 60, rng.integers(0, 90))]
+                texts.append(filler[: len(filler) // 2] + out + filler[len(filler) // 2 :])
+    sixteen = list(items[2])
+    sixteen[5] = sixteen[11] = "edited"
+    texts.append(sixteen)
+    texts.append([x for w in items[4] for x in (w, "between")])
+    texts.append([x for j, w in enumerate(items[4]) for x in ([w, "between"] if j % 2 else [w])])
+    number = {}
+    row = lambda words: np.array([number.setdefault(w, len(number) + 1) for w in words], np.int64)
+    want = {}
+    for d, text in enumerate(texts):
+        for k, words in enumerate(items):
+            score = decontaminate.align(row(words), row(text))[0]
+            if score >= decontaminate.THRESHOLD * 2 * len(words):
+                want[d, k] = score / (2 * len(words))
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = decontaminate.leaks(documents(spark, [(d, " ".join(t)) for d, t in enumerate(texts)]), benchmark).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and (len(texts) - 3, 2) in want
+
+
 # ---- 4
 
 
