@@ -10,8 +10,8 @@ P(unknown | state) times its share of the smoothed unigram mass outside the voca
 unit of probability over the same events as the base.
 
 Training covers all training documents. They are laid end to end on parallel lanes; the state is carried over windows and
-reset where a document begins. Truncated backpropagation (k1, k2): the state runs over every token, and after each `K1`
-steps the gradient goes back `K2` steps. Every partition trains its own copy, and the copies are averaged, weighted by
+reset where a document begins. Truncated backpropagation (k1, k2): every token is a target; the weights change after each
+`K1` steps, by the loss of all of them, whose gradient goes back within stretches of `K2` steps. Every partition trains its own copy, and the copies are averaged, weighted by
 their tokens, in a tree of bounded fan-in; a second round starts from the average.
 
 Scoring lays the documents out in the same way and sums every token's log-probability, so long documents are scored whole.
@@ -169,9 +169,8 @@ def log_probs(shape: Shape, w: dict, states: np.ndarray, targets: np.ndarray, gr
     found = own - np.log(total)
     back = None
     if grad is not None:
-        p /= total[:, None]
-        p[rows, groups] -= 1
-        p /= n
+        p *= (1 / (n * total))[:, None]
+        p[rows, groups] -= 1 / n
         grad["class"] += states.T @ p
         grad["class_bias"] += p.sum(0)
         back = p @ w["class"].T
@@ -188,9 +187,8 @@ def log_probs(shape: Shape, w: dict, states: np.ndarray, targets: np.ndarray, gr
         total = p.sum(1)
         found[low:high] += own - np.log(total)
         if grad is not None:
-            p /= total[:, None]
-            p[rows, cols] -= 1
-            p /= n
+            p *= (1 / (n * total))[:, None]
+            p[rows, cols] -= 1 / n
             grad["word"][:, a:b] += some.T @ p
             grad["word_bias"][a:b] += p.sum(0)
             back[low:high] += p @ weights.T
@@ -239,49 +237,52 @@ def inputs(laid: np.ndarray, of: np.ndarray, begin: int) -> tuple[np.ndarray, np
 
 
 def train(shape: Shape, flat: np.ndarray, laid: np.ndarray, of: np.ndarray, moments: list, rate: float, k1: int = K1, k2: int = K2) -> None:
-    """Truncated backpropagation over one layout; changes flat and moments (Adam's, and the number of steps)."""
+    """Truncated backpropagation over one layout; changes flat and moments (Adam's, and the number of steps). Every token is
+    a target: the weights change after each k1 steps, by the mean loss of those, which goes back within stretches of k2."""
     w = shape.split(flat)
     before, first = inputs(laid, of, shape.size + 1)
     any_first = first.any(1).tolist()
-    h = np.zeros((laid.shape[1], shape.hidden), np.float32)
+    n, lanes = shape.hidden, laid.shape[1]
+    h = np.zeros((lanes, n), np.float32)
     for low in range(0, len(laid), k1):
         high = min(low + k1, len(laid))
-        back = max(low, high - k2)
-        states, kept = [], []
-        x = w["input"][before[low:high]] + w["bias"]
-        for t in range(low, high):
-            if any_first[t]:
-                h = h * ~first[t][:, None]
-            h = step(w, x[t - low], h, kept if t >= back else None)
-            if t >= back:
-                states.append(h)
-        use = of[back:high] >= 0
-        if not use.any():
-            continue
+        if not (of[low:high] >= 0).any():
+            break
         grad_flat = np.zeros_like(flat)
         grad = shape.split(grad_flat)
-        dense = np.stack(states)
-        at = np.flatnonzero(use.ravel())
-        _, d_states = log_probs(shape, w, dense.reshape(-1, shape.hidden)[at], laid[back:high].ravel()[at], grad)
-        d_all = np.zeros((dense.shape[0] * dense.shape[1], shape.hidden), np.float32)
+        kept: list[tuple] = []
+        dense = np.empty((high - low, lanes, n), flat.dtype)
+        x = w["input"][before[low:high]] + w["bias"]
+        for t in range(high - low):
+            if any_first[low + t]:
+                h = h * ~first[low + t][:, None]
+            h = step(w, x[t], h, kept)
+            dense[t] = h
+        at = np.flatnonzero(of[low:high].ravel() >= 0)
+        _, d_states = log_probs(shape, w, dense.reshape(-1, n)[at], laid[low:high].ravel()[at], grad)
+        d_all = np.zeros((dense.shape[0] * lanes, n), flat.dtype)
         d_all[at] = d_states
         d_all = d_all.reshape(dense.shape)
-        dh = np.zeros_like(h)
-        n = shape.hidden
-        d_gates = np.zeros((*dense.shape[:2], 3 * n), np.float32)
-        for t in range(high - back - 1, -1, -1):
+        d_gates = np.empty((high - low, lanes, 3 * n), flat.dtype)
+        d_us = np.empty_like(d_gates)
+        back = np.ascontiguousarray(w["state"].T)
+        for t in range(high - low - 1, -1, -1):
             prev, r, z, new, un = kept[t]
-            dh = dh + d_all[t]
+            dh = d_all[t] if (t + 1) % k2 == 0 or t == high - low - 1 else dh + d_all[t]
             d_new = dh * (1 - z) * (1 - new * new)
-            d_z = dh * (prev - new) * z * (1 - z)
-            d_r = d_new * un * r * (1 - r)
-            d_gates[t] = np.concatenate([d_r, d_z, d_new], 1)
-            d_u = np.concatenate([d_r, d_z, d_new * r], 1)
-            grad["state"] += prev.T @ d_u
-            dh = (dh * z + d_u @ w["state"].T) * ~first[back + t][:, None]
+            g, d_u = d_gates[t], d_us[t]
+            g[:, :n] = d_new * un * r * (1 - r)
+            g[:, n : 2 * n] = dh * (prev - new) * z * (1 - z)
+            g[:, 2 * n :] = d_new
+            d_u[:, : 2 * n] = g[:, : 2 * n]
+            d_u[:, 2 * n :] = d_new * r
+            dh = dh * z + d_u @ back
+            if any_first[low + t]:
+                dh = dh * ~first[low + t][:, None]
+        grad["state"] += np.concatenate([k[0] for k in kept]).T @ d_us.reshape(-1, 3 * n)
         flat_gates = d_gates.reshape(-1, 3 * n)
         grad["bias"] += flat_gates.sum(0)
-        ids = before[back:high].ravel()
+        ids = before[low:high].ravel()
         order = np.argsort(ids, kind="stable")
         edges = np.flatnonzero(np.diff(ids[order], prepend=-1))
         grad["input"][ids[order][edges]] += np.add.reduceat(flat_gates[order], edges, axis=0)

@@ -119,6 +119,24 @@ def test_lm_gradients():
     assert all(abs(a - b * (scale if scale > 1.01 else 1)) < 2e-3 for a, b in found.values())
 
 
+@pytest.mark.parametrize(("k1", "k2"), [(24, 5), (24, 24), (40, 16)])
+def test_lm_trains_on_every_token(k1, k2):
+    shape = lm.Shape(np.array([9.0, 7, 5, 3, 2]), 4, hidden=4, classes=3)
+    flat = shape.start().astype(np.float64)
+    ids = [np.random.default_rng(k).integers(0, 6, 24).astype(np.int32) for k in range(3)]
+    laid, of = lm.lay_out(ids, 3)
+    loss = lambda x: -lm.score_laid(shape, x, laid, of, 3).sum() / (of >= 0).sum()
+    moments = [np.zeros_like(flat), np.zeros_like(flat), 0]
+    lm.train(shape, flat.copy(), laid, of, moments, rate=0.0, k1=k1, k2=k2)
+    got = moments[0] / 0.1
+    at = {k: v.astype(int) for k, v in shape.split(np.arange(len(flat))).items()}
+    for k in [*at["class"].ravel(), *at["class_bias"], *at["word"].ravel(), *at["word_bias"]]:  # these see no state path, so nothing is cut from them
+        up, down = flat.copy(), flat.copy()
+        up[k] += 1e-4
+        down[k] -= 1e-4
+        assert (loss(up) - loss(down)) / 2e-4 == pytest.approx(got[k], abs=1e-3)
+
+
 def test_lm_state_is_carried_across_windows():
     shape = lm.Shape(np.arange(20, 0, -1.0), 5, hidden=6, classes=4)
     flat = shape.start()
