@@ -8,7 +8,8 @@ sequence. All sequences but the last are full.
 
 Tokenizing caches the ids of each word with its leading space. The pattern of the vocabulary never joins a word to what
 comes before a single space or around a single line break, so text whose white space consists of those is looked up word
-by word; any other text goes through the encoder whole. Both give the ids of the vocabulary's own tokenizer.
+by word; any other text goes through the encoder whole. Both give the ids of the vocabulary's own tokenizer, which reads
+<|endoftext|> in a text as one id.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed once each; an empty table gives no
 rows; other columns are ignored.
@@ -30,6 +31,10 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import store, text_or_empty
 
 LENGTH, END_ID, VOCABULARY, CACHED = 2048, 1, "byte_bpe_50k.tiktoken", 250_000
+#: A document's end where it stands in a text: the vocabulary's added token, one id.
+SPECIAL = {"<|endoftext|>": 50256}
+#: What a text looked up word by word must not hold: white space next to white space or of another kind, and the marks.
+_NOT_BY_WORD = ("  ", "\n\n", " \n", "\n ", "\x01", *SPECIAL, *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 
 
 class Encoder(dict):
@@ -41,11 +46,11 @@ class Encoder(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         if max(ranks.values()) > 0xFFFF:
             raise ValueError("the vocabulary needs more than 16 bits")
-        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
         self.cached = cached
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
+        return np.array(self.encoding.encode(text, allowed_special="all"), "<u2").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.cached:
@@ -56,12 +61,8 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if "\x01" not in text:
-            pieces = text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
-            breaks = text.count("\n")
-            # as many words as pieces between the breaks: all white space is a single space or line break between words
-            if len(text.split()) == len(pieces) - breaks:
-                return b"".join(map(self.__getitem__, pieces))
+        if not any(x in text for x in _NOT_BY_WORD):
+            return b"".join(map(self.__getitem__, text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")))
         return self.whole(text)
 
 

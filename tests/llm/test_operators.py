@@ -308,6 +308,17 @@ def test_word_cache_gives_the_tokenizers_ids():
         assert np.frombuffer(cached.encode(text), "<u2").tolist() == own.encode(text, add_special_tokens=False).ids, text
 
 
+def test_odd_white_space_and_added_tokens_give_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    own, cached = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    rng = np.random.default_rng(13)
+    bits = ["a", "b", "word", "'tis", " ", " ", "\n", "\t", "\r", "\xa0", "\u2003", "\x1c", "\x85", "\u200b", "12", "é", "!"]
+    texts = ["a\n\n\nb\tc\td", "\na\tb", "a \t b c\td", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny", "a <|endoftext|", *("".join(rng.choice(bits, 9)) for _ in range(3000))]
+    for text in texts:
+        assert np.frombuffer(cached.encode(text), "<u2").tolist() == own.encode(text, add_special_tokens=False).ids, text
+
+
 # ---- 6
 
 
