@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, line_dedup, packing, quality, simhash
-from siltstone.llm.common import id_or_least, store, table
+from siltstone.llm.common import id_or_least, store, table, text_hashes
+
+#: What tells rows apart: the id and the text.
+ROW = ["__id", "__h1", "__h2"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +30,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays (repeated rows of it: one)."""
-    groups = simhash.near_groups(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_or_least().alias("__kept")).distinct()
-    return docs.withColumn("__id", id_or_least()).dropDuplicates(["__id"]).join(kept, F.col("__id") == F.col("__kept"), "left_semi").select(*docs.columns)
+    """Of each group of near copies one row stays, that with the smallest id. Ids that are null or repeat join no groups."""
+    kept = simhash.representatives(docs).select(id_or_least().alias("__kept"), F.col("h1").alias("__k1"), F.col("h2").alias("__k2"))
+    rows = docs.withColumns(dict(zip(ROW, [id_or_least(), *text_hashes()], strict=True))).dropDuplicates(ROW)
+    return rows.join(kept, (F.col("__id") == F.col("__kept")) & (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left_semi").select(*docs.columns)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = store(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(id_or_least().alias("__leak")).distinct(), "leaking-documents")
-    return docs.withColumn("__id", id_or_least()).join(leaks, F.col("__id") == F.col("__leak"), "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item go, told by their texts."""
+    leaks = store(decontaminate.leaking_texts(docs, table(spark, sf_dir, "benchmark")).toDF("__k1", "__k2"), "leaking-documents")
+    rows = docs.withColumns(dict(zip(ROW[1:], text_hashes(), strict=True)))
+    return rows.join(leaks, (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left_anti").select(*docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

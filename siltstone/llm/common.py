@@ -64,6 +64,11 @@ def id_or_least(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 
 
+def text_hashes(name: str = "text") -> list[Column]:
+    """h1 and h2: 128 bits that tell texts apart."""
+    return [F.xxhash64(text_or_empty(name)).alias("h1"), F.xxhash64(F.lit(31), text_or_empty(name)).alias("h2")]
+
+
 def row_of_others(df: DataFrame, *own: str) -> Column:
     """All columns but `own` as one struct, so that an operator can carry them whatever their names are."""
     others = [F.col(f"`{c}`") for c in df.columns if c not in own]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import text_or_empty
+from siltstone.llm.common import text_hashes, text_or_empty
 
 THRESHOLD, MATCH, PENALTY, BLOCK_BYTES = 0.6, 2, 1, 16 << 20
 
@@ -188,28 +188,37 @@ def _of_block(docs: DataFrame, block: Block, threshold: float) -> DataFrame | No
     documents = np.zeros(len(block.vocabulary) + 1, np.int64)
     for r in docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
         documents[r.word] = r.n
+    schema = ", ".join([LEAKS, *(f"{c} long" for c in docs.columns[2:])])
     seeds = spark.sparkContext.broadcast(Seeds(block, documents, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, chosen = sent.value, seeds.value
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(doc, own.ids[item], *rest) for item, *rest in leaks_in(own, own.numbers(text), chosen)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            for at, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                rows += [(at, doc, own.ids[item], *rest) for item, *rest in leaks_in(own, own.numbers(text), chosen)]
+            at, *columns = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in LEAKS.split(", ")])
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            arrays += [batch.column(k).take(pa.array(at, pa.int64())) for k in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in schema.split(", ")])
 
-    return docs.mapInArrow(run, LEAKS)
+    return docs.mapInArrow(run, schema)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, score, n_seeds, start_word, end_word): each item that a document holds, with its best passage."""
+def leaking_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(h1, h2), the hashes of the texts that hold an item: a leak is a matter of the text, whatever a document's id."""
+    return leaks(docs, benchmark, hashed=True).select("h1", "h2").distinct()
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, hashed: bool = False) -> DataFrame:
+    """(doc_id, item_id, score, n_seeds, start_word, end_word): each item that a document holds, with its best passage;
+    hashed: and the text's hashes."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *(text_hashes() if hashed else []))
     out = None
     for block in blocks_of(spark, benchmark, block_bytes):
         found = _of_block(texts, block, threshold)
         if found is not None:
             out = found if out is None else out.unionAll(found)
-    return out if out is not None else spark.createDataFrame([], LEAKS)
+    return out if out is not None else spark.createDataFrame([], LEAKS + (", h1 long, h2 long" if hashed else ""))

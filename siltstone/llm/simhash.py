@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import remove, store, text_or_empty
+from siltstone.llm.common import remove, store, text_hashes, text_or_empty
 
 RADIUS, SHINGLE, CHUNK = 4, 4, 2048
 
@@ -57,15 +57,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(sum(1 << b for b in np.flatnonzero(2 * ones > len(hashes)).tolist()))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long. hashed: and the text's hashes, h1 and h2."""
+    carried = ["h1", "h2"] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], ["doc_id", "fp", *carried])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), *(text_hashes() if hashed else []))
+    return texts.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *carried]))
 
 
 # ---- buckets
@@ -252,12 +254,25 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def class_roots(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """classes (fp, ...) with the root of each one's component."""
+    roots = components(links(classes.select("fp"), radius))
+    return classes.join(roots, classes.fp == roots.node, "left").select(*classes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs."""
     rows = store(fingerprints(docs, shingle), "fingerprints")
     classes = store(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    roots = components(links(classes.select("fp"), radius))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = class_roots(classes, radius)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(ids, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, h1, h2), the id and text hashes of one row of each component: the smallest id, null last, then the hashes."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    rows = fingerprints(docs, shingle, hashed=True)
+    classes = store(rows.groupBy("fp").agg(F.min(key).alias("least")), "fingerprint-classes")
+    return class_roots(classes, radius).groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.h1", "least.h2")
