@@ -1,8 +1,8 @@
 """HTML main-text extraction by a recurrent block labeller.
 
 A page becomes the sequence of its leaf blocks: text between block-level tags, with character references decoded and white
-space turned into one space. Head, scripts, styles and other elements that hold no page text are never blocks. A block's
-vector is its tag path (tag names and the words of class, id and role of every open element), its hashed words, and a few
+space turned into one space. Titles, scripts, styles and text areas are never blocks; they alone run on to the end where their
+end tag is missing. A block's vector is its tag path (tag names and the words of class, id and role of every open element), its hashed words, and a few
 figures (length, share of linked text, position). A bidirectional LSTM in numpy reads the whole sequence, so each block is
 labelled with the document around it: 1 for the article, 0 for menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments. Blocks labelled 1 are joined by line breaks, in page order.
@@ -33,13 +33,13 @@ SAMPLE, PATH_BITS, WORD_BITS, FIGURES, HIDDEN = 200, 128, 64, 14, 20
 WIDTH = PATH_BITS + WORD_BITS + FIGURES
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|head|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|textarea|title)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|[^<]+|<",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SUBWORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img label".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img label math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the key closes an open element of the values.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {k: {"p"} for k in "div ul ol h1 h2 h3 h4 h5 h6 section article aside header footer nav main form table blockquote pre figure".split()}
@@ -88,7 +88,7 @@ class Blocks:
                 closes = CLOSES.get(tag)
                 while closes and self.stack and self.stack[-1][0] in closes:
                     self.stack.pop()
-                if tag not in VOID and not m[4].endswith("/"):
+                if tag not in VOID and tag != "head" and not m[4].endswith("/"):  # the text of a head is all in raw-text elements
                     self.stack.append((tag, _names(tag, m[4])))
         self.flush()
 

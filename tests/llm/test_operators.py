@@ -329,6 +329,23 @@ def test_html_blocks():
         html_text.Blocks(odd)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><body><article><p>one<p>two</article>", ["one", "two"]),
+        ("<head><meta charset=x><style>p{}</style><p>one</p>", ["one"]),
+        ("<p>one<svg/>two</p><math/><p>three <iframe src='x'/>four", ["one", "two", "three", "four"]),
+        ("<p>one</p><select><option>a<p>two</p><object><p>three", ["one", "a", "two", "three"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><noscript><p>two</p></noscript>", ["so x=1 holds", "two"]),
+        ("<title-bar>one</title-bar><template><p>two", ["one", "two"]),
+        ("<p>one</p><script>never <p>closed", ["one"]),
+    ],
+)
+def test_html_without_end_tags(page, want):
+    assert [b[0] for b in html_text.Blocks(page).blocks] == want
+    assert not any("<head" in b[1] for b in html_text.Blocks(page).blocks)
+
+
 def test_html_extraction(spark):
     words = [f"{a}{b}" for a in ("lor", "ip", "dol", "sit", "am") for b in ("em", "sum", "or", "et", "us", "tis")]
     layout = "<html><body><nav><ul><li><a href='/'>Home</a><li><a href='/n'>News</a></ul></nav><div class='cookie-notice'>We use cookies</div><article><h1>{t}</h1><p>{a}</p><div class='ad'>Buy now</div><p>{b}</p></article><div id='comments'><h3>Comments</h3><p>{c}</p></div><footer>&copy; us</footer></body></html>"
