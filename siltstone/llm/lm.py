@@ -4,6 +4,8 @@ Counts: every training document's tokens (lower-cased words, then one end) are c
 additively smoothed unigram. The `head` most frequent words, a bounded table, go to the executors; the counts of all other
 words reach their documents by a join, so every token's count is exact.
 
+Texts are split twice: for the counts, and for the table of ids, on which training and scoring both work.
+
 Model: a GRU over the `vocabulary` most frequent words and one unknown word. Its output softmax is factored into classes of
 words of similar frequency: P(word) = P(class | state) * P(word | class, state). An unknown word is spelled by its count:
 P(unknown | state) times its share of the smoothed unigram mass outside the vocabulary, so the model spreads exactly one
@@ -36,7 +38,9 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import store, text_or_empty
 
-HEAD, VOCABULARY, HIDDEN, CLASSES, K1, K2, LANES, ROUNDS, FAN_IN, SMOOTH, FOLDS = 1 << 17, 2000, 16, 40, 128, 16, 256, 2, 16, 0.1, 10
+HEAD, VOCABULARY, HIDDEN, CLASSES, K1, K2, LANES, ROUNDS, FAN_IN, SMOOTH, FOLDS = 1 << 17, 2000, 16, 40, 64, 16, 256, 2, 16, 0.1, 10
+#: Tokens that are laid out at a time.
+CHUNK = 4_000_000
 END = b""
 
 
@@ -111,6 +115,7 @@ class Shape:
         self.class_of[order] = group
         self.place[order] = np.arange(self.size + 1) - self.edges[group]
         self.mass = mass[order]
+        self.kind = "<u2" if self.size + 1 < 0x10000 else "<u4"  # of stored ids
         h = hidden
         self.parts = {"input": (self.size + 2, 3 * h), "state": (h, 3 * h), "bias": (3 * h,), "class": (h, self.classes), "class_bias": (self.classes,), "word": (h, self.size + 1), "word_bias": (self.size + 1,)}
 
@@ -136,20 +141,38 @@ class Shape:
         return flat
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def step(w: dict, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """One GRU step: x the gates' inputs (lanes, 3 * hidden), h the state before."""
-    n = h.shape[1]
-    u = h @ w["state"]
-    rz = _sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
-    r, z = rz[:, :n], rz[:, n:]
-    new = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
-    if keep is not None:
-        keep.append((h, r, z, new, u[:, 2 * n :]))
-    return new + z * (h - new)
+class Cell:
+    """The GRU over all lanes at once. Arrays run (units, lanes), so that each gate is one stretch of memory. The squashing
+    function is x / (1 + |x|), several times as fast in numpy as tanh; a gate is half of it plus one half."""
+
+    def __init__(self, w: dict[str, np.ndarray], hidden: int):
+        self.n = hidden
+        self.input = w["input"] + w["bias"]
+        self.state = np.ascontiguousarray(w["state"].T)
+
+    def gates(self, before: np.ndarray) -> np.ndarray:
+        """What the inputs give to the gates: (steps, 3 * units, lanes)."""
+        return np.ascontiguousarray(self.input[before].transpose(0, 2, 1))
+
+    def step(self, x: np.ndarray, h: np.ndarray, u: np.ndarray, out: np.ndarray) -> None:
+        """One step from h to out. x, the gates' inputs, becomes the gates: reset, keep, candidate; u becomes state @ h."""
+        n = self.n
+        np.matmul(self.state, h, out=u)
+        rz, new = x[: 2 * n], x[2 * n :]
+        rz += u[: 2 * n]
+        size = np.abs(rz)
+        size += 1
+        rz /= size
+        rz *= 0.5
+        rz += 0.5
+        np.multiply(rz[:n], u[2 * n :], out=out)
+        new += out
+        np.abs(new, out=out)
+        out += 1
+        new /= out
+        np.subtract(h, new, out=out)
+        out *= rz[n:]
+        out += new
 
 
 def log_probs(shape: Shape, w: dict, states: np.ndarray, targets: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -158,40 +181,34 @@ def log_probs(shape: Shape, w: dict, states: np.ndarray, targets: np.ndarray, gr
     n = len(targets)
     groups, place = shape.class_of[targets], shape.place[targets]
     order = np.argsort(groups, kind="stable")  # a radix sort
-    states, groups, place = states[order], groups[order], place[order]
+    states = np.concatenate([states, np.ones((n, 1), states.dtype)], 1)[order]  # the last column meets the bias
+    groups, place = groups[order], place[order]
     edges = np.searchsorted(groups, np.arange(shape.classes + 1)).tolist()
-    p = states @ w["class"]
-    p += w["class_bias"]
-    rows = np.arange(n)
-    own = p[rows, groups]
-    np.exp(p, out=p)  # the state is within [-1, 1], so the logits are bounded by the weights
-    total = p.sum(1)
-    found = own - np.log(total)
-    back = None
-    if grad is not None:
-        p *= (1 / (n * total))[:, None]
-        p[rows, groups] -= 1 / n
-        grad["class"] += states.T @ p
-        grad["class_bias"] += p.sum(0)
-        back = p @ w["class"].T
-    for k in range(shape.classes):
-        low, high, a, b = edges[k], edges[k + 1], shape.edges[k], shape.edges[k + 1]
-        if low == high or b - a == 1:
-            continue
-        weights, some = w["word"][:, a:b], states[low:high]
-        p = some @ weights
-        p += w["word_bias"][a:b]
-        rows, cols = np.arange(high - low), place[low:high]
+    found = np.zeros(n, states.dtype)
+    back = None if grad is None else np.zeros((n, shape.hidden), states.dtype)
+
+    def softmax(low: int, high: int, weights: np.ndarray, bias: np.ndarray, cols: np.ndarray, to: tuple | None) -> None:
+        some, rows = states[low:high], np.arange(high - low)
+        p = some @ np.concatenate([weights, bias[None]])
         own = p[rows, cols]
-        np.exp(p, out=p)
-        total = p.sum(1)
+        np.exp(p, out=p)  # the state is within [-1, 1], so the logits are bounded by the weights
+        total = p @ np.ones(p.shape[1], p.dtype)
         found[low:high] += own - np.log(total)
-        if grad is not None:
-            p *= (1 / (n * total))[:, None]
-            p[rows, cols] -= 1 / n
-            grad["word"][:, a:b] += some.T @ p
-            grad["word_bias"][a:b] += p.sum(0)
-            back[low:high] += p @ weights.T
+        if to is not None:
+            p[rows, cols] -= total
+            share = (1 / (n * total))[:, None]
+            both = p.T @ (some * share)
+            to[0][:] += both[:, :-1].T
+            to[1][:] += both[:, -1]
+            back[low:high] += (p @ weights.T) * share
+
+    for low in range(0, n, 4096):  # a block stays in the processor's cache
+        high = min(low + 4096, n)
+        softmax(low, high, w["class"], w["class_bias"], groups[low:high], None if grad is None else (grad["class"], grad["class_bias"]))
+    for k in range(shape.classes):
+        low, high, a, b = edges[k], edges[k + 1], shape.edges[k], shape.edges[k + 1]
+        if low < high and b - a > 1:
+            softmax(low, high, w["word"][:, a:b], w["word_bias"][a:b], place[low:high], None if grad is None else (grad["word"][:, a:b], grad["word_bias"][a:b]))
     out = np.empty_like(found)
     out[order] = found
     if back is not None:
@@ -217,7 +234,7 @@ def lay_out(ids: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray]:
         placed[lane].append(doc)
         heapq.heappush(load, (size + len(ids[doc]), lane))
     steps = max(n for n, _ in load)
-    out, of = np.zeros((steps, lanes), np.int32), np.full((steps, lanes), -1, np.int32)
+    out, of = np.zeros((steps, lanes), ids[0].dtype), np.full((steps, lanes), -1, np.int32)
     for lane, docs in enumerate(placed):
         if docs:
             row = np.concatenate([ids[i] for i in docs])
@@ -242,50 +259,68 @@ def train(shape: Shape, flat: np.ndarray, laid: np.ndarray, of: np.ndarray, mome
     w = shape.split(flat)
     before, first = inputs(laid, of, shape.size + 1)
     any_first = first.any(1).tolist()
-    n, lanes = shape.hidden, laid.shape[1]
-    h = np.zeros((lanes, n), np.float32)
+    n, lanes, kind = shape.hidden, laid.shape[1], flat.dtype
+    carried = np.zeros((n, lanes), kind)
     for low in range(0, len(laid), k1):
         high = min(low + k1, len(laid))
-        if not (of[low:high] >= 0).any():
+        live = of[low:high].ravel() >= 0
+        if not live.any():
             break
+        steps = high - low
         grad_flat = np.zeros_like(flat)
         grad = shape.split(grad_flat)
-        kept: list[tuple] = []
-        dense = np.empty((high - low, lanes, n), flat.dtype)
-        x = w["input"][before[low:high]] + w["bias"]
-        for t in range(high - low):
+        cell = Cell(w, n)
+        x = cell.gates(before[low:high])
+        u = np.empty_like(x)
+        starts, states = np.empty((steps, n, lanes), kind), np.empty((steps, n, lanes), kind)
+        for t in range(steps):
+            h = starts[t]
             if any_first[low + t]:
-                h = h * ~first[low + t][:, None]
-            h = step(w, x[t], h, kept)
-            dense[t] = h
-        at = np.flatnonzero(of[low:high].ravel() >= 0)
-        _, d_states = log_probs(shape, w, dense.reshape(-1, n)[at], laid[low:high].ravel()[at], grad)
-        d_all = np.zeros((dense.shape[0] * lanes, n), flat.dtype)
-        d_all[at] = d_states
-        d_all = d_all.reshape(dense.shape)
-        d_gates = np.empty((high - low, lanes, 3 * n), flat.dtype)
-        d_us = np.empty_like(d_gates)
-        back = np.ascontiguousarray(w["state"].T)
-        for t in range(high - low - 1, -1, -1):
-            prev, r, z, new, un = kept[t]
-            dh = d_all[t] if (t + 1) % k2 == 0 or t == high - low - 1 else dh + d_all[t]
-            d_new = dh * (1 - z) * (1 - new * new)
+                np.multiply(states[t - 1] if t else carried, ~first[low + t], out=h)
+            else:
+                h[:] = states[t - 1] if t else carried
+            cell.step(x[t], h, u[t], states[t])
+        carried = states[-1].copy()
+        at = np.flatnonzero(live)
+        rows = states.transpose(0, 2, 1).reshape(-1, n)
+        _, d_states = log_probs(shape, w, rows if len(at) == len(live) else rows[at], laid[low:high].ravel()[at], grad)
+        d_all = d_states
+        if len(at) < len(live):
+            d_all = np.zeros_like(rows)
+            d_all[at] = d_states
+        d_all = np.ascontiguousarray(d_all.reshape(steps, lanes, n).transpose(0, 2, 1))
+        # every gate's own slope, for all steps at once
+        r, z, new = x[:, :n], x[:, n : 2 * n], x[:, 2 * n :]
+        slope = np.square(1 - np.abs(2 * x[:, : 2 * n] - 1)) / 2
+        to_new = (1 - z) * np.square(1 - np.abs(new))
+        to_r, to_z = u[:, 2 * n :] * slope[:, :n], (starts - new) * slope[:, n:]
+        d_gates, d_us = np.empty_like(x), np.empty_like(x)
+        back = np.ascontiguousarray(w["state"])
+        dh, left = np.zeros((n, lanes), kind), np.empty((n, lanes), kind)
+        for t in range(steps - 1, -1, -1):
+            if (t + 1) % k2 == 0:
+                dh = d_all[t].copy()
+            else:
+                dh += d_all[t]
             g, d_u = d_gates[t], d_us[t]
-            g[:, :n] = d_new * un * r * (1 - r)
-            g[:, n : 2 * n] = dh * (prev - new) * z * (1 - z)
-            g[:, 2 * n :] = d_new
-            d_u[:, : 2 * n] = g[:, : 2 * n]
-            d_u[:, 2 * n :] = d_new * r
-            dh = dh * z + d_u @ back
+            d_new = g[2 * n :]
+            np.multiply(dh, to_new[t], out=d_new)
+            np.multiply(d_new, to_r[t], out=g[:n])
+            np.multiply(dh, to_z[t], out=g[n : 2 * n])
+            d_u[: 2 * n] = g[: 2 * n]
+            np.multiply(d_new, r[t], out=d_u[2 * n :])
+            dh *= z[t]
+            np.matmul(back, d_u, out=left)
+            dh += left
             if any_first[low + t]:
-                dh = dh * ~first[low + t][:, None]
-        grad["state"] += np.concatenate([k[0] for k in kept]).T @ d_us.reshape(-1, 3 * n)
-        flat_gates = d_gates.reshape(-1, 3 * n)
-        grad["bias"] += flat_gates.sum(0)
+                dh *= ~first[low + t]
+        grad["state"] += np.tensordot(starts, d_us, ((0, 2), (0, 2)))
+        flat_gates = d_gates.transpose(0, 2, 1).reshape(-1, 3 * n)
         ids = before[low:high].ravel()
         order = np.argsort(ids, kind="stable")
         edges = np.flatnonzero(np.diff(ids[order], prepend=-1))
         grad["input"][ids[order][edges]] += np.add.reduceat(flat_gates[order], edges, axis=0)
+        grad["bias"] += grad["input"].sum(0)  # every step has one input
         norm = float(np.sqrt((grad_flat * grad_flat).sum()))
         if norm > 1:
             grad_flat /= norm
@@ -298,24 +333,26 @@ def train(shape: Shape, flat: np.ndarray, laid: np.ndarray, of: np.ndarray, mome
 def score_laid(shape: Shape, flat: np.ndarray, laid: np.ndarray, of: np.ndarray, n_docs: int, window: int = 64) -> np.ndarray:
     """Each document's natural-log probability, unknown words as the unknown word; the state runs on from window to window."""
     w = shape.split(flat)
+    cell = Cell(w, shape.hidden)
     before, first = inputs(laid, of, shape.size + 1)
     out = np.zeros(n_docs)
-    h = np.zeros((laid.shape[1], shape.hidden), np.float32)
+    h = np.zeros((shape.hidden, laid.shape[1]), flat.dtype)
     for low in range(0, len(laid), window):
         live = np.flatnonzero((of[low : low + window] >= 0).any(0))  # lanes that have ended drop out
         if not len(live):
             break
-        if len(live) < h.shape[0]:
-            h, laid, of, before, first = h[live], laid[:, live], of[:, live], before[:, live], first[:, live]
+        if len(live) < h.shape[1]:
+            h, laid, of, before, first = h[:, live], laid[:, live], of[:, live], before[:, live], first[:, live]
         high = min(low + window, len(laid))
-        states = np.empty((high - low, len(live), shape.hidden), np.float32)
-        x = w["input"][before[low:high]] + w["bias"]
+        states = np.empty((high - low, shape.hidden, len(live)), flat.dtype)
+        x = cell.gates(before[low:high])
+        u = np.empty_like(x[0])
         for t in range(high - low):
-            h = step(w, x[t], h * ~first[low + t][:, None])
-            states[t] = h
+            cell.step(x[t], h * ~first[low + t], u, states[t])
+            h = states[t]
         docs = of[low:high].ravel()
         at = np.flatnonzero(docs >= 0)
-        found, _ = log_probs(shape, w, states.reshape(-1, shape.hidden)[at], laid[low:high].ravel()[at])
+        found, _ = log_probs(shape, w, states.transpose(0, 2, 1).reshape(-1, shape.hidden)[at], laid[low:high].ravel()[at])
         out += np.bincount(docs[at], found, minlength=n_docs)
     return out
 
@@ -339,36 +376,26 @@ def _lanes(n: int, most: int) -> int:
     return int(np.clip(n // 2048, 8, most))
 
 
-def trained(docs: DataFrame, shape: Shape, head: list[bytes], rounds: int = ROUNDS, lanes: int = LANES, fan_in: int = FAN_IN) -> np.ndarray:
-    """Averaged weights of the partitions' copies. docs (doc_id, text binary)."""
-    spark = docs.sparkSession
+def trained(encoded: DataFrame, shape: Shape, rounds: int = ROUNDS, lanes: int = LANES, fan_in: int = FAN_IN) -> np.ndarray:
+    """Averaged weights of the partitions' copies. encoded: (ids binary) of the training documents."""
+    spark = encoded.sparkSession
     flat = shape.start()
-    vocabulary = spark.sparkContext.broadcast({w: k for k, w in enumerate(head[: shape.size])})
     sent_shape = spark.sparkContext.broadcast(shape)
-    kind = "<u2" if shape.size < 0xFFFF else "<u4"
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, unknown = vocabulary.value.get, sent_shape.value.size
-        for batch in batches:
-            ids = [np.fromiter(map(get, words, repeat(unknown)), kind, len(words)).tobytes() for words in map(tokens, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
-
-    encoded = store(docs.mapInArrow(encode, "ids binary"), "lm-ids")  # texts are split once, not in every round
     for number in range(rounds):
         sent = spark.sparkContext.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
             own, shape = sent.value.copy(), sent_shape.value
             moments, seen = [np.zeros_like(own), np.zeros_like(own), 0], 0
-            ids = (np.frombuffer(x, kind).astype(np.int32) for batch in batches for x in batch.column(0).to_pylist())
-            for chunk in _chunks(ids, 1_500_000):
+            ids = (np.frombuffer(x, shape.kind) for batch in batches for x in batch.column(0).to_pylist())
+            for chunk in _chunks(ids, CHUNK):
                 n = sum(map(len, chunk))
                 seen += n
                 train(shape, own, *lay_out(chunk, _lanes(n, lanes)), moments, 0.01 / (1 + 2 * number))
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([own.tobytes()], pa.binary())], ["k", "n", "w"])
 
-        copies = store(encoded.mapInArrow(run, "k long, n double, w binary"), "lm-copies")
+        copies = store(encoded.select("ids").mapInArrow(run, "k long, n double, w binary"), "lm-copies")
         left = copies.count()
         while left > 1:
             copies = copies.withColumn("k", F.floor(F.col("k") / fan_in)).groupBy("k").applyInArrow(_average, "k long, n double, w binary")
@@ -391,59 +418,90 @@ def _average(rows: pa.Table) -> pa.Table:
 
 # ---- scoring
 
-ROWS = "uid long, doc_id long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"
+ROWS = "uid long, doc_id long, n_tokens long, n_known long, base double, spell double, ids binary, words array<binary>, times array<int>"
 
 
-def score(docs: DataFrame, head: int = HEAD, vocabulary: int = VOCABULARY, folds: int = FOLDS, rounds: int = ROUNDS, lanes: int = LANES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs; log10."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    training = texts.filter(fold(folds) != 0)
-    counted = store(counts(training), "lm-counts")
-    n, v, top = frequent(counted, head)
-    words, numbers = [w for w, _ in top], np.array([c for _, c in top], float)
-    known = numbers[:vocabulary]
-    shape = Shape(known, n - known.sum())
-    flat = trained(training, shape, words, rounds, lanes)
-    mass = n + SMOOTH * (v + 1)
-    outside = mass - (known + SMOOTH).sum()
-    sent = spark.sparkContext.broadcast((shape, flat, {w: k for k, w in enumerate(words)}, np.log10(numbers + SMOOTH)))
+def encoded(texts: DataFrame, index: dict[bytes, int], numbers: np.ndarray, shape: Shape, mass: float, outside: float) -> DataFrame:
+    """texts (doc_id, text binary) as ids below shape.size + 1, with what the counts alone decide: the base score and the
+    spelling of unknown words, both without the words outside the head, which are listed with their times."""
+    sent = texts.sparkSession.sparkContext.broadcast((shape.size, shape.kind, index, np.append(np.log10(numbers + SMOOTH), 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, flat, index, logs = sent.value
-        logs = np.append(logs, 0)  # words outside the head get theirs by the join
+        size, kind, index, logs = sent.value
         get, uid = index.get, TaskContext.get().partitionId() << 36
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for low, high in _slices(column, 8 << 20):
                 split = [tokens(t) for t in column.slice(low, high - low).to_pylist()]
-                sizes = np.fromiter(map(len, split), np.int64, len(split))
+                n = len(split)
+                sizes = np.fromiter(map(len, split), np.int64, n)
                 flat_words = [w for own in split for w in own]
-                found = np.fromiter(map(get, flat_words, repeat(len(index))), np.int64, len(flat_words))
+                found = np.fromiter(map(get, flat_words, repeat(len(index))), np.int32, len(flat_words))
                 starts = np.cumsum(sizes) - sizes
-                doc = np.repeat(np.arange(len(split)), sizes)
-                base = np.add.reduceat(logs[found], starts)
+                doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+                of_token = logs[found]
+                base = np.add.reduceat(of_token, starts)
                 rare = np.flatnonzero(found == len(index))
-                modelled = np.minimum(found, shape.size).astype(np.int32)
-                spelled = np.flatnonzero(modelled == shape.size)
-                spell = np.bincount(doc[spelled], logs[found[spelled]], minlength=len(split)) - np.bincount(doc[spelled], minlength=len(split)) * np.log10(outside)
-                laid = lay_out(np.split(modelled, starts[1:]), _lanes(len(flat_words), lanes))
-                model = score_laid(shape, flat, *laid, len(split)) / np.log(10)
-                del laid
+                spelled = np.flatnonzero(found >= size)
+                spell = np.bincount(doc[spelled], of_token[spelled], minlength=n) - np.bincount(doc[spelled], minlength=n) * np.log10(outside)
+                modelled = np.minimum(found, size).astype(kind)
                 tails = [Counter() for _ in split]
                 for i in rare.tolist():
                     tails[doc[i]][flat_words[i]] += 1
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in tails])]), pa.int32())
                 tail_words = pa.ListArray.from_arrays(offsets, pa.array([w for x in tails for w in x], pa.binary()))
                 tail_times = pa.ListArray.from_arrays(offsets, pa.array([c for x in tails for c in x.values()], pa.int32()))
+                known = sizes - np.bincount(doc[rare], minlength=n)
+                packed = pa.array([x.tobytes() for x in np.split(modelled, starts[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid + np.arange(len(split))), ids.slice(low, high - low), pa.array(sizes), pa.array(sizes - np.bincount(doc[rare], minlength=len(split))), pa.array(base - sizes * np.log10(mass)), pa.array(model + spell), tail_words, tail_times],
+                    [pa.array(uid + np.arange(n)), ids.slice(low, high - low), pa.array(sizes), pa.array(known), pa.array(base - sizes * np.log10(mass)), pa.array(spell), packed, tail_words, tail_times],
                     [c.split()[0] for c in ROWS.split(", ")],
                 )
-                uid += len(split)
+                uid += n
+
+    return texts.mapInArrow(run, ROWS)
+
+
+def modelled(encoded: DataFrame, shape: Shape, flat: np.ndarray, lanes: int = LANES) -> DataFrame:
+    """encoded (uid, doc_id, n_tokens, n_known, base, spell, ids) with the model's log10 probability instead of ids and spell."""
+    sent = encoded.sparkSession.sparkContext.broadcast((shape, flat))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape, flat = sent.value
+        rows = (batch.slice(k, 1) for batch in batches for k in range(batch.num_rows))
+
+        def done(own: list[pa.RecordBatch], n: int) -> pa.RecordBatch:
+            table = pa.Table.from_batches(own).combine_chunks()
+            ids = [np.frombuffer(x, shape.kind) for x in table.column("ids").to_pylist()]
+            model = score_laid(shape, flat, *lay_out(ids, _lanes(n, lanes)), len(ids)) / np.log(10)
+            table = table.append_column("score", pa.array(model + table.column("spell").to_numpy()))
+            return table.select(["uid", "doc_id", "n_tokens", "n_known", "base", "score"]).to_batches()[0]
+
+        own, n = [], 0
+        for row in rows:
+            own.append(row)
+            n += row.column(2)[0].as_py()
+            if n >= CHUNK:
+                yield done(own, n)
+                own, n = [], 0
+        if own:
+            yield done(own, n)
+
+    return encoded.select("uid", "doc_id", "n_tokens", "n_known", "base", "spell", "ids").mapInArrow(run, "uid long, doc_id long, n_tokens long, n_known long, base double, score double")
 
-    rows = store(texts.mapInArrow(run, ROWS), "lm-rows")
-    rare = rows.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+
+def score(docs: DataFrame, head: int = HEAD, vocabulary: int = VOCABULARY, folds: int = FOLDS, rounds: int = ROUNDS, lanes: int = LANES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs; log10."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
+    counted = store(counts(texts.filter(fold(folds) != 0)), "lm-counts")
+    n, v, top = frequent(counted, head)
+    words, numbers = [w for w, _ in top], np.array([c for _, c in top], float)
+    known = numbers[:vocabulary]
+    shape = Shape(known, n - known.sum())
+    mass = n + SMOOTH * (v + 1)
+    ids = store(encoded(texts, {w: k for k, w in enumerate(words)}, numbers, shape, mass, mass - (known + SMOOTH).sum()), "lm-ids")
+    rows = modelled(ids, shape, trained(ids.filter(fold(folds) != 0), shape, rounds, lanes), lanes)
+    rare = ids.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     seen = F.coalesce("c", F.lit(0))
     rare = rare.join(counted, "word", "left").groupBy("uid").agg(F.sum(F.col("times") * F.log10(seen + SMOOTH)).alias("logs"), F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("rare_known"))
     rare = rare.withColumnRenamed("uid", "rare_uid")
