@@ -76,8 +76,10 @@ def row_of_others(df: DataFrame, *own: str) -> Column:
 
 
 def few_by_hash(df: DataFrame, name: str, most: int) -> DataFrame:
-    """At most `most` rows of df, those with the smallest hashes of column `name`: a bounded sample that is the same on every
-    run. A first cut by the hash leaves about four times as many, so that no task hands many rows to the final sort."""
-    step = max(1, df.count() // (4 * most))
-    first = df.filter(F.pmod(F.xxhash64(name), F.lit(step)) == 0)
+    """At most `most` distinct values of column `name` of df, nulls aside: those with the smallest hashes, a bounded sample that
+    is the same on every run. A first cut by the hash leaves about four times as many values, so that no task hands many to
+    the final sort; how often a value repeats plays no part."""
+    values = df.select(name).filter(F.col(name).isNotNull())
+    step = max(1, values.agg(F.approx_count_distinct(name)).first()[0] // (4 * most))
+    first = values.filter(F.pmod(F.xxhash64(name), F.lit(step)) == 0).distinct()
     return first.withColumn("__order", F.xxhash64(F.lit(31), name)).orderBy("__order", name).limit(most).drop("__order")

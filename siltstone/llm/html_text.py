@@ -2,14 +2,14 @@
 
 A page becomes the sequence of its leaf blocks: text between block-level tags, with character references decoded and white
 space turned into one space. Titles, scripts, styles and text areas are never blocks; they alone run on to the end where their
-end tag is missing. A block's vector is its tag path (tag names and the words of class, id and role of every open element), its hashed words, and a few
+end tag is missing. A page is read in linear time. A block's vector is its tag path (tag names and the words of class, id and role of every open element), its hashed words, and a few
 figures (length, share of linked text, position). A bidirectional LSTM in numpy reads the whole sequence, so each block is
 labelled with the document around it: 1 for the article, 0 for menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments. Blocks labelled 1 are joined by line breaks, in page order.
 
 Training is here too: the labeller is fitted on pages written by `made_page`, a generator of varied layouts whose blocks
-are known, filled with words from at most `sample` pages of the input (those with the smallest hashes of their ids), so
-that the vocabulary and languages are the corpus's own.
+are known, filled with at most `WORDS` words from at most `SAMPLE` pages of the input (those with the smallest hashes, and
+of their ids), so that the vocabulary and languages are the corpus's own.
 
 Defined results: null, empty or textless html gives an empty text; unclosed, misnested or unknown tags are read as far as
 they go; repeated pages are extracted once each; an empty table gives no rows; other columns are ignored.
@@ -29,14 +29,15 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import few_by_hash
 
-SAMPLE, PATH_BITS, WORD_BITS, FIGURES, HIDDEN = 200, 128, 64, 14, 20
+SAMPLE, WORDS, PATH_BITS, WORD_BITS, FIGURES, HIDDEN = 200, 20_000, 128, 64, 14, 20
 WIDTH = PATH_BITS + WORD_BITS + FIGURES
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|textarea|title)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+#: Tokens that can be told without looking past the next `<`. A lone `<` is looked at by Blocks.slow.
+_TOKEN = re.compile(r"[^<]++|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>|<", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+_STOP = re.compile("[>\"']")
+#: Elements whose text is no markup.
+RAW = {t: re.compile(f"</{t}\\s*>", re.I) for t in ("script", "style", "textarea", "title")}
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SUBWORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img label math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace semantics".split())
@@ -53,84 +54,140 @@ def _names(tag: str, attributes: str) -> list[str]:
     return out
 
 
+_path_hash: dict[str, int] = {}
+_word_hash: dict[str, int] = {}
+
+
+def _bucket(cache: dict[str, int], word: str, n: int, seed: int, strip: str = "") -> int:
+    k = cache.get(word)
+    if k is None:
+        if len(cache) > 200_000:
+            cache.clear()
+        k = cache[word] = zlib.crc32((word.strip(strip) if strip else word).encode(), seed) % n
+    return k
+
+
 class Blocks:
-    """Blocks of one page: (text, tag path names, linked code points, leaf tag)."""
+    """Blocks of one page: (text, buckets of the tag path's names as bits, their number, linked code points, leaf tag)."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, list[str], int, str]] = []
-        self.stack: list[tuple[str, list[str]]] = []
+        self.blocks: list[tuple[str, int, int, int, str]] = []
+        self.stack: list[tuple[str, int, int]] = []  # an open element's tag, and the bits and number of the names down to it
         self.text: list[str] = []
         self.linked, self.in_link = 0, 0
-        for m in _TOKEN.finditer(html):
-            tag = m[3]
-            if tag is None:
-                piece = m[0]
-                if piece[0] != "<" or piece == "<":
-                    self.text.append(piece)
-                    self.linked += len(piece) * (self.in_link > 0)
-                elif m[1] and m[1].lower() not in INLINE:
-                    self.flush()
-                continue
-            tag = tag.lower()
-            if tag == "br":
-                self.text.append(" ")
-            elif tag in INLINE:
-                if tag == "a":
-                    self.in_link = 0 if m[2] else 1
-            elif m[2]:
-                self.flush()
-                for k in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[k][0] == tag:
-                        del self.stack[k:]
-                        break
+        self.opened: dict[str, int] = {}  # how often a name is on the stack
+        self.html, self.loose, self.unclosed = html, False, set()
+        at, match = 0, _TOKEN.match
+        while (m := match(html, at)) is not None:
+            at = m.end()
+            if m[2] is not None:
+                at = self.tag(m[1], m[2].lower(), m[3], at)
+            elif m[0] != "<":
+                self.put(m[0])
             else:
-                self.flush()
-                closes = CLOSES.get(tag)
-                while closes and self.stack and self.stack[-1][0] in closes:
-                    self.stack.pop()
-                if tag not in VOID and tag != "head" and not m[4].endswith("/"):  # the text of a head is all in raw-text elements
-                    self.stack.append((tag, _names(tag, m[4])))
+                at = self.slow(at - 1)
         self.flush()
 
+    def put(self, piece: str) -> None:
+        self.text.append(piece)
+        self.linked += len(piece) * (self.in_link > 0)
+
+    def until(self, end: str, at: int) -> int:
+        """Past the next `end` from `at`, or the page's end; what isn't found once is not looked for again."""
+        k = -1 if end in self.unclosed else self.html.find(end, at)
+        if k < 0:
+            self.unclosed.add(end)
+        return len(self.html) if k < 0 else k + len(end)
+
+    def slow(self, at: int) -> int:
+        """Reads what the `<` at `at` begins and returns where that ends: a comment, a declaration, a tag with odd quotes or
+        brackets, or mere text. A tag ends with the first `>` outside quotes. Where a page has none, from there on with the
+        first `>` of any kind, so that a page is read in linear time."""
+        html = self.html
+        if html.startswith("<!--", at):
+            return self.until("-->", at + 2)
+        if html.startswith("<![CDATA[", at):
+            return self.until("]]>", at)
+        m = _NAME.match(html, at)
+        if m is not None or html[at + 1 : at + 2] in ("!", "?", "/"):
+            end, k = None, at + 1 if m is None else m.end()
+            while not self.loose and m is not None:
+                stop = _STOP.search(html, k)
+                if stop is None:
+                    self.loose = True
+                elif stop[0] == ">":
+                    end = stop.start()
+                    break
+                else:
+                    k = html.find(stop[0], stop.end()) + 1
+                    self.loose = not k
+            if end is None:
+                end = self.until(">", at) - 1 if ">" not in self.unclosed else len(html)
+            if end < len(html) and html[end] == ">":
+                return end + 1 if m is None else self.tag(m[1], m[2].lower(), html[m.end() : end], end + 1)
+        self.put("<")
+        return at + 1
+
+    def tag(self, ends: str, tag: str, attributes: str, at: int) -> int:
+        """Takes in a tag that ends at `at`; returns where to read on."""
+        if tag == "br":
+            self.text.append(" ")
+        elif tag in INLINE:
+            if tag == "a":
+                self.in_link = 0 if ends else 1
+        elif tag in RAW:
+            self.flush()
+            if not ends:
+                end = RAW[tag].search(self.html, at)
+                return end.end() if end else len(self.html)
+        elif ends:
+            self.flush()
+            if self.opened.get(tag):
+                while True:
+                    name = self.stack.pop()[0]
+                    self.opened[name] -= 1
+                    if name == tag:
+                        break
+        else:
+            self.flush()
+            closes = CLOSES.get(tag)
+            while closes and self.stack and self.stack[-1][0] in closes:
+                self.opened[self.stack.pop()[0]] -= 1
+            if tag not in VOID and tag != "head" and not attributes.endswith("/"):  # the text of a head is all in raw-text elements
+                _, bits, n = self.stack[-1] if self.stack else ("", 0, 0)
+                names = _names(tag, attributes)
+                for name in names:
+                    bits |= 1 << _bucket(_path_hash, name, PATH_BITS, 1)
+                self.stack.append((tag, bits, n + len(names)))
+                self.opened[tag] = self.opened.get(tag, 0) + 1
+        return at
+
     def flush(self) -> None:
         if self.text:
             text = " ".join(unescape("".join(self.text)).split())
             if text:
-                self.blocks.append((text, [n for _, names in self.stack for n in names], self.linked, self.stack[-1][0] if self.stack else ""))
+                leaf, bits, n = self.stack[-1] if self.stack else ("", 0, 0)
+                self.blocks.append((text, bits, n, self.linked, leaf))
             self.text = []
         self.linked = 0
 
 
-_path_hash: dict[str, int] = {}
-_word_hash: dict[str, int] = {}
-
-
-def _bucket(cache: dict[str, int], word: str, n: int, seed: int) -> int:
-    k = cache.get(word)
-    if k is None:
-        if len(cache) > 200_000:
-            cache.clear()
-        k = cache[word] = zlib.crc32(word.encode(), seed) % n
-    return k
-
-
-def vectors(blocks: list[tuple[str, list[str], int, str]]) -> np.ndarray:
+def vectors(blocks: list[tuple[str, int, int, int, str]]) -> np.ndarray:
     out = np.zeros((len(blocks), WIDTH), np.float32)
     at = PATH_BITS + WORD_BITS
     total = sum(len(b[0]) for b in blocks) or 1
     before = 0
-    for k, (text, path, linked, leaf) in enumerate(blocks):
+    for k, (text, bits, depth, linked, leaf) in enumerate(blocks):
         row = out[k]
-        for name in path:
-            row[_bucket(_path_hash, name, PATH_BITS, 1)] = 1
+        row[:PATH_BITS] = np.unpackbits(np.frombuffer(bits.to_bytes(PATH_BITS // 8, "little"), np.uint8), bitorder="little")
         row[_bucket(_path_hash, "leaf " + leaf, PATH_BITS, 1)] = 1
         words = text.lower().split()
-        for word in set(words[:60]) if len(words) > 60 else words:
-            row[PATH_BITS + _bucket(_word_hash, word.strip(".,:;!?()[]\"'"), WORD_BITS, 2)] += 1
-        row[PATH_BITS:at] /= max(1.0, np.sqrt(len(words)))
+        if words:
+            counts = np.bincount([_bucket(_word_hash, word, WORD_BITS, 2, ".,:;!?()[]\"'") for word in words], minlength=WORD_BITS)
+            row[PATH_BITS:at] = counts / np.sqrt((counts * counts).sum())  # alike for long and short blocks
         n = len(text)
         row[at:] = (
-            np.log1p(n) / 8, np.log1p(len(words)) / 6, min(1, linked / n), n < 25, n > 120, text[-1] in ".!?\"»”", text.count(",") / max(1, len(words)), before / total, k / len(blocks), len(path) / 12,
+            np.log1p(n) / 8, np.log1p(len(words)) / 6, min(1, linked / n), n < 25, n > 120, text[-1] in ".!?\"»”", text.count(",") / max(1, len(words)), before / total, k / len(blocks), min(2, depth / 12),
             n / total, any(c.isdigit() for c in text), "©" in text, k == 0,
         )
         before += n
@@ -279,7 +336,7 @@ def made_page(rng: np.random.Generator, words: list[str]) -> tuple[str, list[int
         return " ".join(own)
 
     def prose() -> str:
-        text = say(int(np.exp(rng.uniform(0.7, 5))))
+        text = say(int(np.exp(rng.uniform(0.7, 6 if rng.random() < 0.3 else 5))))
         if rng.random() < 0.06:
             text = text.replace(" ", " | ")
         if rng.random() < 0.2:
@@ -315,18 +372,18 @@ def made_page(rng: np.random.Generator, words: list[str]) -> tuple[str, list[int
             return out + mark[1] + "<br>".join(prose() for _ in range(rng.integers(1, 6)))
         for _ in range(rng.integers(1, 12)):
             kind = rng.random()
-            if kind < 0.78:
+            if kind < 0.72:
                 out += texts(1, 1, 4)
-            elif kind < 0.84:
+            elif kind < 0.78:
                 out += "<ul>" + "".join(put(1, "li", prose()) for _ in range(rng.integers(2, 6))) + "</ul>"
-            elif kind < 0.88:
+            elif kind < 0.82:
                 out += f"<blockquote>{texts(1, 1, 3)}</blockquote>"
-            elif kind < 0.92:
+            elif kind < 0.86:
                 out += put(1, pick(["h2", "h3"]), say(int(rng.integers(2, 8))))
-            elif kind < 0.94:
+            elif kind < 0.88:
                 out += "<table>" + "".join("<tr>" + "".join(put(1, "td", say(int(rng.integers(1, 5)))) for _ in range(3)) + "</tr>" for _ in range(2)) + "</table>"
-            elif kind < 0.97:
-                out += advert()
+            elif kind < 0.96:
+                out += advert() + (texts(1, 1, 3) if rng.random() < 0.7 else "")
             else:
                 out += box(_NOTICE + _SIDE, plain(0, 0.3))
         return out
@@ -358,11 +415,19 @@ def training_pages(words: list[str], n: int = 500, seed: int = 9) -> list[tuple[
     return out
 
 
-def corpus_words(pages: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """Words of at most `sample` pages, those with the smallest hashes of their ids."""
-    few = few_by_hash(pages.select(F.col("page_id").cast("long").alias("p"), F.col("html").cast("string").alias("html")), "p", sample).collect()
-    words = sorted({w for r in few for b in Blocks(r.html or "").blocks for w in b[0].split()[:200]})
-    return words or list(_WORN)
+def corpus_words(pages: DataFrame, sample: int = SAMPLE, most: int = WORDS) -> list[str]:
+    """At most `most` words, those with the smallest hashes, of at most `sample` page ids, likewise; one page for each id."""
+    pages = pages.select(F.col("page_id").cast("long").alias("p"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    few = few_by_hash(pages.select("p"), "p", sample)
+    one = pages.join(F.broadcast(few.withColumnRenamed("p", "few")), F.col("p") == F.col("few")).groupBy("p").agg(F.max("html").alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for html in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(sorted({w for b in Blocks(html).blocks for w in b[0].split()}), pa.string())], ["word"])
+
+    words = one.select("html").mapInArrow(run, "word string").distinct().withColumn("order", F.xxhash64("word")).orderBy("order", "word").limit(most)
+    return sorted(r.word for r in words.collect()) or list(_WORN)
 
 
 def trained(pages: DataFrame, sample: int = SAMPLE, made: int = 800) -> Labeller:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import few_by_hash
 from siltstone.llm import decontaminate, html_text, line_dedup, lm, merkle, packing, quality, secrets, sharding, simhash
 
 from .cases import CLASHING, LONG, PASSAGE, TEXTS, clashing, crowd, documents, empty, same_rows
@@ -344,7 +346,31 @@ def test_html_blocks():
 )
 def test_html_without_end_tags(page, want):
     assert [b[0] for b in html_text.Blocks(page).blocks] == want
-    assert not any("<head" in b[1] for b in html_text.Blocks(page).blocks)
+    head = 1 << html_text._bucket(html_text._path_hash, "<head", html_text.PATH_BITS, 1)
+    assert not any(b[1] & head for b in html_text.Blocks(page).blocks)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a ">', "<!", "<div>x", "</b>", "<", "<p class='a>b'>t", "<li>x<ul>", "&"])
+def test_html_is_read_in_linear_time(piece):
+    start = time.perf_counter()
+    html_text.vectors(html_text.Blocks(piece * 30_000).blocks)
+    assert time.perf_counter() - start < 15  # a quadratic reader takes minutes
+
+
+def test_labeller_on_unseen_layouts():
+    """Precision and recall by code points, over generated pages of another seed and other words."""
+    words = lambda a: [f"{x}{y}" for x in a for y in ("em", "sum", "or", "et", "us", "tis", "", "ando", "ik")]
+    model = html_text.fit(html_text.training_pages(words(("lor", "ip", "dol", "sit", "am")), 800))
+    pages = html_text.training_pages(words(("ver", "tak", "mun", "pol", "hes")), 200, seed=77)
+    got = html_text.label(model, [v for v, _ in pages])
+    right = sum(int((a & (b > 0)).sum()) for a, (_, b) in zip(got, pages, strict=True))
+    assert right / sum(int((b > 0).sum()) for _, b in pages) > 0.95 and right / sum(int(a.sum()) for a in got) > 0.95
+
+
+def test_samples_of_distinct_values(spark):
+    rows = spark.createDataFrame([(k % 8,) for k in range(4000)] + [(None,)] * 50, "i long")
+    assert {r.i for r in few_by_hash(rows, "i", 20).collect()} == set(range(8))
+    assert few_by_hash(rows, "i", 3).count() == 3 and few_by_hash(rows.limit(0), "i", 3).count() == 0
 
 
 def test_html_extraction(spark):
