@@ -5,16 +5,19 @@ unread). It minimises the non-negative unbiased risk of Kiryo et al. (2017),
 
     prior * R_positive(+1) + max(0, R_unlabelled(-1) - prior * R_positive(-1)),
 
-with the logistic loss over a one-hidden-layer network in numpy. The class prior is estimated: the share of positives among
-the labelled training rows, less three standard errors of it, as too high a prior counts negatives among the positives
-while one slightly too low costs little. Inputs are statistics of the whole text alone (characters, words, repeats, lines).
+with the logistic loss over a one-hidden-layer network in numpy. The class prior is estimated from the same two sets, without
+any label 0, by best bin estimation (Garg et al., 2021): a network is fitted on one half of each set to tell positives from
+unlabelled text; on the other half, over the thresholds of its score, the least ratio of the unlabelled share above the
+threshold to the positive share above it bounds the prior, with an allowance for the shares' errors. Training takes the
+estimate less three standard errors, as too high a prior counts negatives among the positives while one slightly too low
+costs little. Inputs are statistics of the whole text alone (characters, words, repeats, lines).
 
 Training takes at most `sample` positives and `sample` unlabelled rows, the ones with the smallest hashes of their ids;
-nothing else is bounded. Scores are the network's posterior, computed for every document in one pass over its whole text.
+nothing else is bounded. Of rows that repeat an id, the one with the greatest text is learnt from. Scores are the network's posterior, computed for every document in one pass over its whole text.
 
 Defined results: a null or empty text is scored from the statistics of an empty text; repeated rows get equal scores; a
 null id is held out unless crc32 of the empty string says otherwise, never labelled; with no labelled positives every
-score is the prior (0.5 where no row is labelled); an empty table gives no rows; other columns are ignored.
+score is 0.5; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,17 +91,19 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(np.tanh(x @ a + b) @ c + d, -30, 30)))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = HIDDEN, epochs: int = 60, rate: float = 0.03, batch: int = 512, seed: int = 7) -> Network:
-    """Adam on the non-negative risk; where the negative part falls below zero, its gradient is followed upwards."""
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidden: int = HIDDEN, epochs: int = 60, rate: float = 0.03, batch: int = 512, seed: int = 7) -> Network:
+    """Adam on the non-negative risk; where the negative part falls below zero, its gradient is followed upwards. Without a
+    prior, on the plain risk of telling the two sets apart."""
     rng = np.random.default_rng(seed)
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     p, u = np.clip((positive - mean) / scale, -8, 8), np.clip((unlabelled - mean) / scale, -8, 8)
-    weights = [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.log(prior / (1 - prior)) * np.ones(1)]
+    start = 0.0 if prior is None else np.log(prior / (1 - prior))
+    weights = [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), start * np.ones(1)]
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     average = [np.zeros_like(w) for w in weights]
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     softplus = lambda z: np.logaddexp(0, z)
-    rounds = max(1, len(u) // batch)
+    rounds = max(8, len(u) // batch)
     for epoch in range(epochs):
         p_order, u_order = rng.permutation(len(p)), rng.permutation(len(u))
         for k in range(rounds):
@@ -106,11 +111,13 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: in
             a, b, c, d = weights
             hp, hu = np.tanh(xp @ a + b), np.tanh(xu @ a + b)
             zp, zu = hp @ c + d, hu @ c + d
-            negative = softplus(zu).mean() - prior * softplus(zp).mean()
-            positive_part = -prior * sigmoid(-zp) / len(zp)
-            up, uu = -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
-            gp, gu = (positive_part + up, uu) if negative >= 0 else (-up, -uu)
-            grads = []
+            if prior is None:
+                gp, gu = -sigmoid(-zp) / len(zp), sigmoid(zu) / len(zu)
+            else:
+                negative = softplus(zu).mean() - prior * softplus(zp).mean()
+                positive_part = -prior * sigmoid(-zp) / len(zp)
+                up, uu = -prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
+                gp, gu = (positive_part + up, uu) if negative >= 0 else (-up, -uu)
             dhp, dhu = gp[:, None] * c * (1 - hp**2), gu[:, None] * c * (1 - hu**2)
             grads = [xp.T @ dhp + xu.T @ dhu + 1e-4 * a, dhp.sum(0) + dhu.sum(0), hp.T @ gp + hu.T @ gu + 1e-4 * c, np.array([gp.sum() + gu.sum()])]
             step += 1
@@ -124,6 +131,19 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: in
     return Network(mean, scale, [s / kept for s in average])
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives among the unlabelled rows, by best bin estimation on halves that were not trained on."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    network = train(positive[::2], unlabelled[::2], None, epochs=30)
+    p, u = np.sort(network.posterior(positive[1::2])), np.sort(network.posterior(unlabelled[1::2]))
+    cuts = np.unique(p)
+    of_p, of_u = 1 - np.searchsorted(p, cuts) / len(p), 1 - np.searchsorted(u, cuts) / len(u)
+    error = np.sqrt(np.log(4 / doubt) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+    best = np.argmin((of_u + error) / of_p)
+    return float(np.clip(of_u[best] / of_p[best], 0.02, 0.98))
+
+
 def fold(folds: int = FOLDS) -> Column:
     """crc32 of the id as text, modulo the folds; rows with 0 are held out."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")) % folds
@@ -131,27 +151,27 @@ def fold(folds: int = FOLDS) -> Column:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(t).tolist() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["kind", "x"])
+        rows = [features(t).tolist() for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "kind", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> Network:
     """The network from the training rows of docs, with at most `sample` rows of either kind."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isNotNull() & (fold(folds) != 0)).distinct()
-    share, n = known.agg(F.avg((F.col("quality") == 1).cast("double")), F.count(F.lit(1))).first()
-    prior = 0.5 if share is None else float(np.clip(share - 3 * np.sqrt(share * (1 - share) / min(n, sample)), 0.02, 0.98))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter((F.col("quality") == 1) & (fold(folds) != 0)).select("doc_id").distinct()
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & (fold(folds) != 0))
-    few = lambda rows: sorted({r.doc_id for r in few_by_hash(rows, "doc_id", sample).collect()})
-    trusted = few(ids.join(known.filter("quality = 1").select("doc_id"), "doc_id", "left_semi"))
+    few = lambda rows: sorted(r.doc_id for r in few_by_hash(rows, "doc_id", sample).collect())
+    trusted = few(ids.join(known, "doc_id", "left_semi"))
     anything = few(ids)
     if not trusted or not anything:
-        return Network(np.zeros(FEATURES), np.ones(FEATURES), [], prior)
+        return Network(np.zeros(FEATURES), np.ones(FEATURES), [], 0.5)
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(i, 1) for i in trusted] + [(i, 0) for i in anything], "doc_id long, kind int")  # at most 2 * sample rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text")).join(F.broadcast(wanted), "doc_id").select("kind", "text")
-    rows = texts.mapInArrow(_featured, "kind int, x array<double>").toPandas()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text")).join(F.broadcast(wanted), "doc_id")
+    texts = texts.groupBy("doc_id", "kind").agg(F.max("text").alias("text"))
+    rows = texts.mapInArrow(_featured, "doc_id long, kind int, x array<double>").toPandas().sort_values(["kind", "doc_id"])
     split = [np.array(rows.x[rows.kind == k].tolist(), float).reshape(-1, FEATURES) for k in (1, 0)]
-    return train(split[0], split[1], prior)
+    prior = estimated_prior(split[0], split[1])
+    return train(split[0], split[1], max(0.02, prior - 3 * np.sqrt(prior * (1 - prior) / (len(split[1]) / 2))))
 
 
 def score(docs: DataFrame, network: Network, folds: int = FOLDS, threshold: float = THRESHOLD) -> DataFrame:

@@ -632,6 +632,25 @@ def test_quality(spark):
     assert np.mean([s >= 0.3 for s in good]) > 0.97 and np.mean([s < 0.3 for s in bad]) > 0.9
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_needs_no_labelled_negatives(share):
+    rng = np.random.default_rng(8)
+    make = lambda n, at: rng.normal(at, 1, (n, 6))
+    n = int(3000 * share)
+    unlabelled = rng.permutation(np.concatenate([make(n, 1.2), make(3000 - n, -1.2)]))
+    assert quality.estimated_prior(make(2000, 1.2), unlabelled) == pytest.approx(share, abs=0.05)
+
+
+def test_quality_with_repeated_ids_and_null_columns(spark):
+    docs, labels = noisy(300)
+    rows = [(i, t, 1, "x") for i, t in docs] + [(5, f"other text {k} under one id", 1, "x") for k in range(500)] + [(None, "no id", 1, None)] * 3
+    hot = spark.createDataFrame(rows, "doc_id long, text string, held_out int, kind string")
+    network = quality.fit(hot, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert network.constant is None and quality.score(hot, network).count() == len(rows)
+    none = spark.createDataFrame([(None, None, None, None)] * 3, "doc_id long, text string, held_out int, kind string")
+    assert {r.score for r in quality.score(none, quality.fit(none, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()} == {0.5}
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.score(documents(spark), quality.fit(documents(spark), none)).collect()} == {0.5}
