@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import store, text_or_empty
 
-HEAD, VOCABULARY, HIDDEN, CLASSES, K1, K2, LANES, ROUNDS, FAN_IN, SMOOTH, FOLDS = 1 << 17, 2000, 16, 40, 64, 16, 256, 2, 16, 0.1, 10
+HEAD, VOCABULARY, HIDDEN, CLASSES, K1, K2, LANES, ROUNDS, FAN_IN, SMOOTH, FOLDS = 1 << 17, 2000, 16, 40, 32, 16, 512, 2, 16, 0.1, 10
 #: Tokens that are laid out at a time.
 CHUNK = 4_000_000
 END = b""
