@@ -63,7 +63,7 @@ def e27_fold(spark, d):
 
 def w1(spark, d):
     own = records(spark, d).withColumn("last_removal", F.max(F.when(F.col("kind").isin(1, 3), F.col("s"))).over(Window.partitionBy("k")))
-    return own.filter("k < 30").select("k", "s", "last_removal")
+    return own.select("k", "s", "last_removal")
 
 
 def k4(rule):
@@ -83,13 +83,13 @@ def first_back(spark, d):
 
 
 def c25(spark, d):
-    files = sql(spark, d, "SELECT file, bucket, level, lo AS k_min, hi AS k_max, CAST(0 AS BIGINT) AS k_nulls, lo % 100 AS v_min, lo % 100 + 10 AS v_max, CAST(0 AS BIGINT) AS v_nulls, CAST(10 AS BIGINT) AS rows FROM {key_ranges} x WHERE file < 400")
+    files = sql(spark, d, "SELECT file, bucket, level, lo AS k_min, hi AS k_max, CAST(0 AS BIGINT) AS k_nulls, lo % 100 AS v_min, lo % 100 + 10 AS v_max, CAST(0 AS BIGINT) AS v_nulls, CAST(10 AS BIGINT) AS rows FROM {key_ranges} x")
     stats = {"k": pruning.stats_of("k", "bigint"), "v": pruning.stats_of("v", "bigint")}
     return pruning.by_bucket(files, parse("k >= 1000 AND k < 3000 AND v > 200"), stats, ["k"], ["bucket"], skip_level_0=True).select("file", "fate")
 
 
 def c28(spark, d):
-    keys = sql(spark, d, "SELECT l_partkey * 7 AS key FROM {lineitem} x WHERE l_orderkey < 200").distinct()
+    keys = sql(spark, d, "SELECT l_partkey * 7 AS key FROM {lineitem} x").distinct()
     return merge.key_range_files(get(spark, d, "key_ranges"), keys)
 
 
@@ -100,9 +100,9 @@ def d12(spark, d):
 
 def d11(spark, d):
     """Files of a split stitched on the row number; each column from its freshest holder."""
-    rows = get(spark, d, "data_rows").filter("file_id = 4")
-    f0, f1 = rows.select("pos", F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")), rows.select("pos", (F.col("l_suppkey") * 2).alias("b"))
-    return f0.select("pos", "a").join(f1, "pos").select("pos", "a", "b")
+    rows = get(spark, d, "data_rows")
+    f0, f1 = rows.select("file_id", "pos", F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")), rows.select("file_id", "pos", (F.col("l_suppkey") * 2).alias("b"))
+    return f0.select("file_id", "pos", "a").join(f1, ["file_id", "pos"]).select("file_id", "pos", "a", "b")
 
 
 def d20(spark, d):
@@ -190,7 +190,7 @@ def j4(spark, d):
     return own.filter("k IN (7, 12) AND version < 10")
 
 
-COMMITS = "SELECT CAST(event_id AS BIGINT) AS version, CAST(event_id * 1000 - (event_id % 7) * 900 - (CASE WHEN event_id % 10 = 0 THEN 4000 ELSE 0 END) AS BIGINT) AS at_ms, (event_id * 37) % 5000 AS base_row_id, 1 + event_id % 90 AS num_records FROM {events} x WHERE event_id < 400"
+COMMITS = "SELECT CAST(event_id AS BIGINT) AS version, CAST(event_id * 1000 - (event_id % 7) * 900 - (CASE WHEN event_id % 10 = 0 THEN 4000 ELSE 0 END) AS BIGINT) AS at_ms, (event_id * 37) % 5000 AS base_row_id, 1 + event_id % 90 AS num_records FROM {events} x"
 
 
 def w9(spark, d):
@@ -251,7 +251,7 @@ def e7(spark, d):
 
 
 def d21(spark, d):
-    times = sql(spark, d, "SELECT DISTINCT o_orderdate AS t FROM {orders} x WHERE o_orderkey % 100 = 0")
+    times = sql(spark, d, "SELECT DISTINCT o_orderdate AS t FROM {orders} x")
     return history.as_of(get(spark, d, "snapshots"), times)
 
 
@@ -263,7 +263,7 @@ def d23_recursive(spark, d):
     return history.chain(get(spark, d, "snapshots"), 60)
 
 
-LOG = "SELECT CAST(n AS BIGINT) AS ord, CAST(CASE WHEN n % 12 = 11 THEN n - 6 ELSE n END AS BIGINT) AS snapshot_id FROM (SELECT p_partkey AS n FROM {part} WHERE p_partkey < 100) y"
+LOG = "SELECT CAST(n AS BIGINT) AS ord, CAST(CASE WHEN n % 12 = 11 THEN n - 6 ELSE n END AS BIGINT) AS snapshot_id FROM (SELECT p_partkey AS n FROM {part}) y"
 
 
 def k13(spark, d):
@@ -274,7 +274,7 @@ def k14(spark, d):
     return history.left_behind(sql(spark, d, LOG))
 
 
-STEPS = "SELECT event_id % 10 AS step, user_id AS k, max(CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id % 5 END) AS digest FROM {events} x WHERE event_id < 2000 GROUP BY 1, 2"
+STEPS = "SELECT event_id % 10 AS step, user_id AS k, max(CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id % 5 END) AS digest FROM {events} x GROUP BY 1, 2"
 
 
 def w2(spark, d):
@@ -308,8 +308,8 @@ def d17(spark, d):
     return get(spark, d, "referenced").select("path").unionAll(actions(spark, d).select("path")).distinct()
 
 
-FIELDS_A = "SELECT CAST(n AS BIGINT) AS id, concat('c', CAST(n AS VARCHAR(9))) AS name, 'int' AS type FROM (SELECT p_partkey AS n FROM {part} WHERE p_partkey < 30) y WHERE n % 6 <> 5"
-FIELDS_B = "SELECT CAST(n AS BIGINT) AS id, concat(CASE WHEN n % 4 = 1 THEN 'd' ELSE 'c' END, CAST(n AS VARCHAR(9))) AS name, CASE WHEN n % 5 = 2 THEN 'long' ELSE 'int' END AS type FROM (SELECT p_partkey AS n FROM {part} WHERE p_partkey < 30) y WHERE n % 7 <> 3"
+FIELDS_A = "SELECT CAST(n AS BIGINT) AS id, concat('c', CAST(n AS VARCHAR(9))) AS name, 'int' AS type FROM (SELECT p_partkey AS n FROM {part}) y WHERE n % 6 <> 5"
+FIELDS_B = "SELECT CAST(n AS BIGINT) AS id, concat(CASE WHEN n % 4 = 1 THEN 'd' ELSE 'c' END, CAST(n AS VARCHAR(9))) AS name, CASE WHEN n % 5 = 2 THEN 'long' ELSE 'int' END AS type FROM (SELECT p_partkey AS n FROM {part}) y WHERE n % 7 <> 3"
 
 
 def u4(spark, d):
@@ -354,16 +354,16 @@ _FATES = lambda ladder, removing: f"SELECT k, fate, CAST(count(*) AS BIGINT) AS
 
 QUERIES = {
     "b10_row_lineage": (b10, "SELECT ord, CAST(coalesce(own, m + coalesce(before, 0)) AS BIGINT) AS first_row_id FROM (SELECT p_partkey AS ord, CASE WHEN p_partkey % 50 = 0 THEN p_partkey * 1000 END AS own, (p_partkey % 20) * 1000000 AS m, sum(p_size) OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM part) x"),
-    "c25_key_files_of_a_bucket": (c25, "SELECT file, CASE WHEN hi < 1000 OR lo >= 3000 THEN 'SKIPPED_BY_KEY' WHEN level = 0 THEN 'LEVEL_0' ELSE 'BUCKET_SKIPPED' END AS fate FROM {key_ranges} x WHERE file < 400"),
-    "c28_key_range_files": (c28, "SELECT DISTINCT file, key FROM {key_ranges} f JOIN (SELECT DISTINCT l_partkey * 7 AS key FROM lineitem WHERE l_orderkey < 200) k ON key BETWEEN lo AND hi"),
-    "d11_row_number_stitch": (d11, "SELECT pos, l_orderkey AS a, l_suppkey * 2 AS b FROM {data_rows} x WHERE file_id = 4"),
+    "c25_key_files_of_a_bucket": (c25, "SELECT file, CASE WHEN hi < 1000 OR lo >= 3000 THEN 'SKIPPED_BY_KEY' WHEN level = 0 THEN 'LEVEL_0' ELSE 'BUCKET_SKIPPED' END AS fate FROM {key_ranges} x"),
+    "c28_key_range_files": (c28, "SELECT DISTINCT file, key FROM {key_ranges} f JOIN (SELECT DISTINCT l_partkey * 7 AS key FROM lineitem) k ON key BETWEEN lo AND hi"),
+    "d11_row_number_stitch": (d11, "SELECT file_id, pos, l_orderkey AS a, l_suppkey * 2 AS b FROM {data_rows} x"),
     "d12_key_tuples": (d12, "SELECT k, CAST(count(*) AS BIGINT) AS n FROM {lsm_records} x WHERE k % 7 = 0 AND level = k % 3 GROUP BY k"),
     "d14_file_set_diff": (d14, f"SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'ONLY_IN_FROM' WHEN a.path IS NULL THEN 'ONLY_IN_TO' WHEN a.size <> b.size THEN 'CHANGED' ELSE 'IN_BOTH' END AS side FROM ({_LIVE(3)}) a FULL JOIN ({_LIVE(8)}) b ON a.path = b.path"),
     "d15_missing_files": (d15, "SELECT path, string_agg(CAST(snapshot_id AS VARCHAR), ',' ORDER BY snapshot_id) AS snapshots FROM (SELECT DISTINCT path, snapshot_id FROM {referenced} r WHERE NOT EXISTS (SELECT 1 FROM {listing} l WHERE l.path = r.path)) x GROUP BY path"),
     "d16_unreferenced_files": (d16, "SELECT path, size FROM {listing} l WHERE NOT EXISTS (SELECT 1 FROM {referenced} r WHERE l.path = r.path)"),
     "d17_referenced_set": (d17, "SELECT path FROM {referenced} r UNION SELECT path FROM {actions} a"),
     "d20_interval_sections": (d20, "SELECT bucket, section, CAST(count(*) AS BIGINT) AS files, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, CAST(sum(fresh) OVER (PARTITION BY bucket ORDER BY lo, hi, file) AS BIGINT) AS section FROM (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY bucket ORDER BY lo, hi, file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS FALSE THEN 0 ELSE 1 END AS fresh FROM {key_ranges} k) x) y GROUP BY bucket, section"),
-    "d21_as_of_snapshot": (d21, "SELECT t, (SELECT max(snapshot_id) FROM {snapshots} s WHERE s.at_time <= t) AS snapshot_id FROM (SELECT DISTINCT o_orderdate AS t FROM orders WHERE o_orderkey % 100 = 0) x"),
+    "d21_as_of_snapshot": (d21, "SELECT t, (SELECT max(snapshot_id) FROM {snapshots} s WHERE s.at_time <= t) AS snapshot_id FROM (SELECT DISTINCT o_orderdate AS t FROM orders) x"),
     "d23_ancestor_chain": (d23, "SELECT snapshot_id, 70 - snapshot_id AS depth FROM {snapshots} s WHERE snapshot_id <= 70"),
     "d23_ancestor_chain_recursive": (d23_recursive, "SELECT snapshot_id, 60 - snapshot_id AS depth FROM {snapshots} s WHERE snapshot_id <= 60"),
     "e1_manifest_ledger": (e1, f"SELECT ord, contribution FROM ({_LEDGER}) l"),
@@ -408,7 +408,7 @@ QUERIES = {
     "u1_union_of_bucket_files": (u1, "SELECT k, CAST(count(*) AS BIGINT) AS n FROM {lsm_records} x GROUP BY k"),
     "u3_checkpoint_difference": (u3, f"SELECT path, size, 'ONLY_IN_FROM' AS side FROM (SELECT path, size FROM ({_LIVE(3)}) a EXCEPT SELECT path, size FROM ({_LIVE(8)}) b) x UNION ALL SELECT path, size, 'ONLY_IN_TO' FROM (SELECT path, size FROM ({_LIVE(8)}) b EXCEPT SELECT path, size FROM ({_LIVE(3)}) a) y"),
     "u4_schema_difference": (u4, f"SELECT * FROM (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'ADDED' WHEN b.id IS NULL THEN 'DROPPED' WHEN a.name <> b.name THEN 'RENAMED' WHEN a.type <> b.type THEN 'RETYPED' END AS change FROM ({FIELDS_A}) a FULL JOIN ({FIELDS_B}) b ON a.id = b.id) x WHERE change IS NOT NULL"),
-    "w1_last_removal_window": (w1, "SELECT k, s, max(s) FILTER (WHERE kind IN (1, 3)) OVER (PARTITION BY k) AS last_removal FROM {lsm_records} x WHERE k < 30"),
+    "w1_last_removal_window": (w1, "SELECT k, s, max(s) FILTER (WHERE kind IN (1, 3)) OVER (PARTITION BY k) AS last_removal FROM {lsm_records} x"),
     "w2_row_changes": (w2, f"SELECT step, k, CASE WHEN before IS NULL AND digest IS NOT NULL THEN 'APPEARED' WHEN before IS NOT NULL AND digest IS NULL THEN 'GONE' WHEN before IS NOT DISTINCT FROM digest THEN 'UNCHANGED' ELSE 'CHANGED' END AS change FROM (SELECT *, lag(digest) OVER (PARTITION BY k ORDER BY step) AS before FROM ({STEPS}) s) x"),
     "w3_log_replay": (w3, f"SELECT path, version, ord, size FROM ({_LIVE(6)}) l"),
     "w4_manifest_replay": (w4, f"SELECT version, delta, replaced, absent, CAST(sum(delta) OVER (ORDER BY version) AS BIGINT) AS live FROM (SELECT version, CAST(sum(CASE effect WHEN 'ADDED' THEN 1 WHEN 'REMOVED' THEN -1 ELSE 0 END) AS BIGINT) AS delta, CAST(count(*) FILTER (WHERE effect = 'REPLACED') AS BIGINT) AS replaced, CAST(count(*) FILTER (WHERE effect = 'REMOVED_ABSENT') AS BIGINT) AS absent FROM ({_TRACE}) t GROUP BY version) x"),

@@ -16,18 +16,16 @@ def files(spark, d):
     return get(spark, d, "small_files")
 
 
-def bins(pack, n=600):
+def bins(pack):
     def run(spark, d):
-        own = files(spark, d).filter(F.col("file") < n)
-        out = planners.packed(own, ["part"], ["file"], "size", pack)
+        out = planners.packed(files(spark, d), ["part"], ["file"], "size", pack)
         return out.groupBy("part", "bin").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
     return run
 
 
 def w11_items(spark, d):
-    own = files(spark, d).filter("part = 3 AND file < 2000")
-    return planners.packed(own, ["part"], ["file"], "size", lambda s: planners.one_open_bin(s, 128 * MB)).select("file", "bin")
+    return planners.packed(files(spark, d), ["part"], ["file"], "size", lambda s: planners.one_open_bin(s, 128 * MB)).select("file", "bin")
 
 
 def l1(spark, d):
@@ -51,17 +49,17 @@ def l5(spark, d):
 
 
 def l6(spark, d):
-    own = sql(spark, d, "SELECT p_partkey AS n, p_partkey * 7340033 AS total FROM {part} x WHERE p_partkey < 200")
+    own = sql(spark, d, "SELECT p_partkey AS n, p_partkey * 7340033 AS total FROM {part} x")
     return own.select("n", planners.output_files(F.col("total"), 128 * MB, 96 * MB, 230 * MB).alias("files"))
 
 
 def l7(spark, d):
-    deletes = sql(spark, d, "SELECT p_partkey AS delete_id, CASE WHEN p_partkey % 3 = 0 THEN 'equality' ELSE 'positional' END AS kind, p_partkey % 50 AS part, p_partkey % 8 AS delete_seq FROM {part} x WHERE p_partkey < 1000")
+    deletes = sql(spark, d, "SELECT p_partkey AS delete_id, CASE WHEN p_partkey % 3 = 0 THEN 'equality' ELSE 'positional' END AS kind, p_partkey % 50 AS part, p_partkey % 8 AS delete_seq FROM {part} x")
     data = sql(spark, d, "SELECT p_partkey % 40 AS part, 1 + (p_partkey % 40) % 7 AS seq FROM {part} x")
     return planners.dangling_deletes(deletes, data)
 
 
-MANIFESTS = "SELECT p_partkey % 2 AS content, p_partkey AS ord, CAST(p_size AS BIGINT) * 100000 AS size FROM {part} x WHERE p_partkey < 400"
+MANIFESTS = "SELECT p_partkey % 2 AS content, p_partkey AS ord, CAST(p_size AS BIGINT) * 100000 AS size FROM {part} x"
 
 
 def l8(spark, d):
@@ -87,11 +85,11 @@ def l16(spark, d):
 
 
 def l19(spark, d):
-    return planners.splits(files(spark, d).filter("file < 300"), 16 * MB)
+    return planners.splits(files(spark, d), 16 * MB)
 
 
 def l18(spark, d):
-    own = files(spark, d).filter("file < 300")
+    own = files(spark, d)
     return planners.scan_tasks(planners.splits(own, 16 * MB), own, 64 * MB)
 
 
@@ -165,7 +163,7 @@ def l42(spark, d):
 
 
 def l46(spark, d):
-    commits = sql(spark, d, "SELECT event_id AS version, event_id * 3600000 - (event_id % 5) * 4000000 AS at_ms FROM {events} x WHERE event_id < 300")
+    commits = sql(spark, d, "SELECT event_id AS version, event_id * 3600000 - (event_id % 5) * 4000000 AS at_ms FROM {events} x")
     return planners.log_cleanup(commits, 200 * 3600000, 150).select("version")
 
 
@@ -196,7 +194,7 @@ def i3(spark, d):
 
 
 def i5(spark, d):
-    own = sql(spark, d, "SELECT p_partkey AS n FROM {part} x WHERE p_partkey < 400").withColumn("n", F.col("n") - 100)
+    own = sql(spark, d, "SELECT p_partkey AS n FROM {part} x").withColumn("n", F.col("n") - 100)
     return own.select("n", *[transforms.human(t, F.col("n")).alias(t) for t in ("year", "month", "day", "hour")])
 
 
@@ -251,10 +249,10 @@ def i28(spark, d):
     return own.filter("b < 1024").select("n", parsing.bytes_text(F.col("b")).alias("text"))
 
 
-_ONE = "SELECT file, CAST(row_number() OVER (ORDER BY file) AS BIGINT) AS i, size FROM {small_files} x WHERE part = 3 AND file < 2000"
+_ONE = "SELECT part, file, CAST(row_number() OVER (PARTITION BY part ORDER BY file) AS BIGINT) AS i, size FROM {small_files} x"
 QUERIES = {
     "w10_first_fit_lookback": (bins(lambda s: planners.first_fit(s, 128 * MB, 3)), None),
-    "w11_one_open_bin": (w11_items, f"WITH RECURSIVE items AS ({_ONE}), walk(i, file, bin, total) AS (SELECT i, file, CAST(0 AS BIGINT), size FROM items WHERE i = 1 UNION ALL SELECT n.i, n.file, CASE WHEN w.total + n.size <= {128 * MB} THEN w.bin ELSE w.bin + 1 END, CASE WHEN w.total + n.size <= {128 * MB} THEN w.total + n.size ELSE n.size END FROM walk w JOIN items n ON n.i = w.i + 1) SELECT file, bin FROM walk"),
+    "w11_one_open_bin": (w11_items, f"WITH RECURSIVE items AS ({_ONE}), walk(part, i, file, bin, total) AS (SELECT part, i, file, CAST(0 AS BIGINT), size FROM items WHERE i = 1 UNION ALL SELECT n.part, n.i, n.file, CASE WHEN w.total + n.size <= {128 * MB} THEN w.bin ELSE w.bin + 1 END, CASE WHEN w.total + n.size <= {128 * MB} THEN w.total + n.size ELSE n.size END FROM walk w JOIN items n ON n.part = w.part AND n.i = w.i + 1) SELECT file, bin FROM walk"),
     "w12_ordered_packing": (bins(lambda s: planners.ordered(s, 128 * MB)), None),
     "l1_expire_snapshots": (l1_out, "SELECT snapshot_id, (CASE WHEN 79 - snapshot_id < 5 THEN TRUE ELSE at_time >= TIMESTAMP '2000-06-15' END) OR snapshot_id IN (10, 33) AS retained FROM {snapshots} s"),
     "l2_expired_files": (l2, "SELECT DISTINCT path FROM (SELECT p_partkey % 500 AS path, p_partkey % 80 AS snapshot_id FROM part) r WHERE path NOT IN (SELECT p_partkey % 500 FROM part p JOIN {snapshots} s ON s.snapshot_id = p.p_partkey % 80 WHERE 79 - s.snapshot_id < 5 OR s.at_time >= TIMESTAMP '2000-06-15' OR s.snapshot_id IN (10, 33))"),
@@ -262,8 +260,8 @@ QUERIES = {
         l5,
         f"SELECT part, files, bytes FROM (SELECT part, CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS bytes, bool_or(CAST(removed AS DOUBLE) / rows >= 0.3) AS heavy FROM {{small_files}} f WHERE size < 0.75 * {32 * MB} OR size > 1.8 * {32 * MB} OR CAST(removed AS DOUBLE) / rows >= 0.3 GROUP BY part) g WHERE files >= 5 OR (files > 1 AND bytes > {32 * MB}) OR bytes > 1.8 * {32 * MB} OR heavy",
     ),
-    "l6_output_file_count": (l6, f"SELECT n, CAST(CASE WHEN total < {128 * MB} THEN 1 WHEN total % {128 * MB} > {96 * MB} THEN total // {128 * MB} + 1 WHEN CAST(total AS DOUBLE) / greatest(total // {128 * MB}, 1) < least(1.1 * {128 * MB}, {230 * MB}) THEN total // {128 * MB} ELSE total // {128 * MB} + 1 END AS BIGINT) AS files FROM (SELECT p_partkey AS n, p_partkey * 7340033 AS total FROM part WHERE p_partkey < 200) x"),
-    "l7_dangling_deletes": (l7, "SELECT delete_id FROM (SELECT p_partkey AS delete_id, p_partkey % 3 = 0 AS eq, p_partkey % 50 AS part, p_partkey % 8 AS s FROM part WHERE p_partkey < 1000) d WHERE part >= 40 OR NOT (CASE WHEN eq THEN s > 1 + part % 7 ELSE s >= 1 + part % 7 END)"),
+    "l6_output_file_count": (l6, f"SELECT n, CAST(CASE WHEN total < {128 * MB} THEN 1 WHEN total % {128 * MB} > {96 * MB} THEN total // {128 * MB} + 1 WHEN CAST(total AS DOUBLE) / greatest(total // {128 * MB}, 1) < least(1.1 * {128 * MB}, {230 * MB}) THEN total // {128 * MB} ELSE total // {128 * MB} + 1 END AS BIGINT) AS files FROM (SELECT p_partkey AS n, p_partkey * 7340033 AS total FROM part) x"),
+    "l7_dangling_deletes": (l7, "SELECT delete_id FROM (SELECT p_partkey AS delete_id, p_partkey % 3 = 0 AS eq, p_partkey % 50 AS part, p_partkey % 8 AS s FROM part) d WHERE part >= 40 OR NOT (CASE WHEN eq THEN s > 1 + part % 7 ELSE s >= 1 + part % 7 END)"),
     "l8_manifest_merge": (l8, None),
     "l9_rewrite_manifests": (l9, f"SELECT content, CAST(count(*) AS BIGINT) AS manifests, CAST(ceil(CAST(sum(size) AS DOUBLE) / {8 * MB}) AS BIGINT) AS outputs FROM ({MANIFESTS}) m GROUP BY content"),
     "l11_rewrite_table_path": (l11, "SELECT path, CASE WHEN path LIKE '/warehouse/t/%' THEN '/copy/t/' || substr(path, 14) END AS copy_to, NOT path LIKE '/warehouse/t/%' AS refused FROM (SELECT concat(CASE WHEN p_partkey % 10 = 0 THEN '/other/' ELSE '/warehouse/t/' END, CAST(p_partkey AS VARCHAR), '.parquet') AS path FROM part) x"),
@@ -271,7 +269,7 @@ QUERIES = {
     "l13_cherry_pick": (l13, "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'FAST_FORWARD'), (2, 'PUBLISH'), (3, 'REFUSED'), (4, 'REFUSED')) t(n, verdict)"),
     "l16_fast_forward": (l16, "SELECT snapshot_id FROM {snapshots} s WHERE snapshot_id BETWEEN 41 AND 60"),
     "l18_scan_tasks": (l18, None),
-    "l19_file_splits": (l19, f"SELECT file, CAST(o * {16 * MB} AS BIGINT) AS \"offset\", CAST(least({16 * MB}, size - o * {16 * MB}) AS BIGINT) AS length FROM {{small_files}} f, range(0, 10) r(o) WHERE file < 300 AND o * {16 * MB} < size"),
+    "l19_file_splits": (l19, f"SELECT file, CAST(o * {16 * MB} AS BIGINT) AS \"offset\", CAST(least({16 * MB}, size - o * {16 * MB}) AS BIGINT) AS length FROM {{small_files}} f, range(0, 10) r(o) WHERE o * {16 * MB} < size"),
     "l20_adaptive_split_size": (l20, f"SELECT t AS total_mb, p AS parallelism, CAST(greatest({16 * MB}, least({128 * MB}, ceil(t * {MB} / CAST(p AS DOUBLE)))) AS BIGINT) AS split_size FROM (VALUES (CAST(10 AS BIGINT)), (500), (5000)) a(t), (VALUES (CAST(1 AS BIGINT)), (8), (200)) b(p)"),
     "l24_universal_compaction": (l24, None),
     "l25_append_compaction": (l25, None),
@@ -286,13 +284,13 @@ QUERIES = {
     "l40_optimize_compaction": (l40, None),
     "l41_optimize_zorder": (l41, "SELECT part, CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM {small_files} f GROUP BY part"),
     "l42_optimize_clustering": (l42, None),
-    "l46_log_cleanup": (l46, "SELECT version FROM (SELECT version, max(at_ms - n) OVER (ORDER BY version) + n AS adjusted FROM (SELECT event_id AS version, event_id * 3600000 - (event_id % 5) * 4000000 AS at_ms, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_id < 300) x) y WHERE version < 150 AND adjusted <= 691200000"),
+    "l46_log_cleanup": (l46, "SELECT version FROM (SELECT version, max(at_ms - n) OVER (ORDER BY version) + n AS adjusted FROM (SELECT event_id AS version, event_id * 3600000 - (event_id % 5) * 4000000 AS at_ms, row_number() OVER (ORDER BY event_id) AS n FROM events) x) y WHERE version < 150 AND adjusted <= 691200000"),
     "l47_next_checkpoint": (l47, "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(10 AS BIGINT)), (9, 10), (10, 20), (25, 30)) t(version, next)"),
     "i1_bucket": (i1, None),
     "i2_truncate": (i2, "SELECT n, CAST(n - ((n % 10) + 10) % 10 AS BIGINT) AS number, substr(p_name, 1, 3) AS text FROM (SELECT p_partkey - 50 AS n, p_name FROM part) x"),
     "i3_date_transforms": (i3, "SELECT o_orderkey, CAST(year(o_orderdate) - 1970 AS BIGINT) AS y, CAST((year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS BIGINT) AS m, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS d, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 24 + hour(o_orderdate) AS BIGINT) AS h FROM orders"),
     "i4_transform_result_type": (i4, "SELECT * FROM (VALUES ('identity', 'string'), ('bucket[8]', 'int'), ('truncate[3]', 'string'), ('year', 'int'), ('month', 'int'), ('day', 'date'), ('hour', 'int')) t(transform, type)"),
-    "i5_partition_text": (i5, "SELECT n, CAST(n + 1970 AS VARCHAR) AS year, strftime(DATE '1970-01-01' + to_months(CAST(n AS INTEGER)), '%Y-%m') AS month, strftime(DATE '1970-01-01' + to_days(CAST(n AS INTEGER)), '%Y-%m-%d') AS day, strftime(TIMESTAMP '1970-01-01' + to_hours(n), '%Y-%m-%d-%H') AS hour FROM (SELECT p_partkey - 100 AS n FROM part WHERE p_partkey < 400) x"),
+    "i5_partition_text": (i5, "SELECT n, CAST(n + 1970 AS VARCHAR) AS year, strftime(DATE '1970-01-01' + to_months(CAST(n AS INTEGER)), '%Y-%m') AS month, strftime(DATE '1970-01-01' + to_days(CAST(n AS INTEGER)), '%Y-%m-%d') AS day, strftime(TIMESTAMP '1970-01-01' + to_hours(n), '%Y-%m-%d-%H') AS hour FROM (SELECT p_partkey - 100 AS n FROM part) x"),
     "i12_xxhash64": (i12, None),
     "i13_wang_hash": (i13, None),
     "i16_normal_path": (i16, "SELECT p_partkey AS n, '/w/t/' || CAST(p_partkey AS VARCHAR) AS path FROM part"),
