@@ -84,9 +84,23 @@ class Table:
         last = F.array_max(F.transform("snapshots", lambda s: s["sequence-number"]))
         return checks.report([checks.check(newest, "metadata", F.col("name"), {"last-column-id": (F.col("last-column-id"), counted), "last-sequence-number": (F.col("last-sequence-number"), last)})])
 
+    def scan_plan(self, where: str, version: int | None = None) -> DataFrame:
+        """(path, size, rows, skipped) of the live files: what a filter can leave unread."""
+        if self.format != files.DELTA:
+            raise ValueError(f"statistics of {self.format} files are read through their manifests")
+        return delta.plan(self.spark, self.path, predicates.parse(where), version).select("path", "size", "rows", "skipped")
+
+    def fates(self, where: str, version: int | None = None) -> DataFrame:
+        """Rows a filter matches in the files it can't skip, dead ones too, with _file, _pos and _fate."""
+        if self.format != files.DELTA:
+            raise ValueError(f"rows of {self.format} tables are read through their data files")
+        parsed = predicates.parse(where)
+        kept = delta.plan(self.spark, self.path, parsed, version).filter("NOT skipped").select("path", "vector", "partition_values")
+        return delta.row_fates(self.spark, self.path, version, kept).filter(predicates.to_column(parsed))
+
     def lookup(self, where: str, version: int | None = None) -> DataFrame:
         """Rows a filter matches at a version."""
-        return self.rows(version).filter(predicates.to_column(predicates.parse(where)))
+        return self.fates(where, version).filter("_fate = 'LIVE'").drop("_file", "_pos", "_fate")
 
     def changes(self, low: int = 0, high: int | None = None) -> DataFrame:
         """The change feed's file-level changes of a range of versions."""

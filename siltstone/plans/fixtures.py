@@ -62,6 +62,8 @@ def scratch(spark: SparkSession) -> str:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return f"{base.rstrip('/')}/siltstone-fixture-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="siltstone-fixture-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return f"{folder}/t"

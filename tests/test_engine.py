@@ -4,6 +4,9 @@ import datetime
 import json
 import math
 import struct
+import urllib.parse
+import uuid
+import zlib
 from decimal import Decimal
 
 import numpy as np
@@ -339,6 +342,62 @@ def test_log_table(spark, log_table):
     assert table.plan("expire", 10**9, least=1, most=2).filter("expired").count() >= 1
 
 
+def test_lookup_with_fates(spark, log_table):
+    table = open_table(spark, log_table)
+    got = {(r.id, r._file, r._pos, r._fate) for r in table.fates("id >= 2 AND p = 'x'").collect()}
+    assert got == {(2, "p=x/a b.parquet", 1, "DELETED_BY_VECTOR"), (3, "p=x/a b.parquet", 2, "LIVE"), (6, "p=x/c.parquet", 0, "LIVE")}
+    assert {(r.path, r.skipped) for r in table.scan_plan("p = 'y'", 0).collect()} == {("p=x/a b.parquet", True), ("p=y/b.parquet", False)}
+    assert table.fates("p = 'nowhere'").count() == 0
+
+
+@pytest.fixture
+def cleaned_table(spark, tmp_path):
+    """Version 1 is a checkpoint, commits 0 and 1 are gone; files of one name in two folders, one told by its whole path,
+    and two files whose vectors share a file."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    root = tmp_path / "cleaned t"
+    (root / "_delta_log").mkdir(parents=True)
+    (root / "sub").mkdir()
+    for name, ids in (("x.parquet", [1, 2]), ("sub/x.parquet", [3, 4]), ("sub/[a]%20b.parquet", [5, 6, 7]), ("gone.parquet", [99])):
+        pq.write_table(pa.table({"id": pa.array(ids, pa.int64()), "path": [str(i) for i in ids]}), root / name)
+    schema = {"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("id", "long"), ("path", "string"))]}
+    blobs, at = b"\x01", {}
+    for name, dead in (("x", [0]), ("sub", [1])):
+        body = struct.pack("<I", 1681511377) + codecs.roaring64_encode(dead)
+        at[name] = (len(blobs), len(body))
+        blobs += struct.pack(">I", len(body)) + body + struct.pack(">I", zlib.crc32(body))
+    name = uuid.uuid4()
+    (root / f"deletion_vector_{name}.bin").write_bytes(blobs)
+    vector = lambda k: {"storageType": "u", "pathOrInlineDv": codecs.z85_encode(name.bytes), "offset": at[k][0], "sizeInBytes": at[k][1], "cardinality": 1}
+    add = lambda path, least, most, **more: {"add": {"path": path, "partitionValues": {}, "size": 1, "dataChange": True, "stats": json.dumps({"numRecords": 2, "minValues": {"id": least}, "maxValues": {"id": most}, "nullCount": {"id": 0}}), **more}}
+    base = [{"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}}, {"metaData": {"id": "m", "schemaString": json.dumps(schema), "partitionColumns": [], "configuration": {}}}, add("x.parquet", 1, 2), add("gone.parquet", 99, 99)]
+    rows = spark.createDataFrame([(json.dumps(a),) for a in base], "j string").select(F.from_json("j", delta.ACTIONS).alias("a")).select("a.*")
+    rows.coalesce(1).write.parquet(str(tmp_path / "cp"))
+    next((tmp_path / "cp").glob("part-*")).rename(root / "_delta_log" / f"{1:020}.checkpoint.parquet")
+    (root / "_delta_log" / f"{2:020}.checkpoint.{1:010}.{2:010}.parquet").write_bytes(b"")  # a part is missing
+    later = [
+        [{"remove": {"path": "gone.parquet", "dataChange": True}}, add("sub/x.parquet", 3, 4, deletionVector=vector("sub")), {"commitInfo": {"timestamp": 1}}],
+        [{"remove": {"path": "x.parquet", "dataChange": True}}, add("x.parquet", 1, 2, deletionVector=vector("x")), add("file://" + urllib.parse.quote(f"{root}/sub/[a]%20b.parquet"), 5, 7), {"commitInfo": {"timestamp": 2}}],
+    ]
+    for k, actions in enumerate(later, 2):
+        (root / "_delta_log" / f"{k:020}.json").write_text("\n".join(json.dumps(a) for a in actions))
+    return str(root)
+
+
+def test_checkpoint_and_later_commits(spark, cleaned_table):
+    table = open_table(spark, cleaned_table)
+    assert sorted(tuple(r) for r in table.rows(1).collect()) == [(1, "1"), (2, "2"), (99, "99")]
+    assert sorted(tuple(r) for r in table.rows(2).collect()) == [(1, "1"), (2, "2"), (3, "3")]
+    assert sorted(tuple(r) for r in table.rows().collect()) == [(2, "2"), (3, "3"), (5, "5"), (6, "6"), (7, "7")]
+    assert {(r.id, r._fate) for r in table.fates("id < 4").collect()} == {(1, "DELETED_BY_VECTOR"), (2, "LIVE"), (3, "LIVE")}
+    assert {r.path.rsplit("/", 1)[-1] for r in table.scan_plan("id >= 5").filter("NOT skipped").collect()} == {"[a]%20b.parquet"}
+    for version in (0, 7):
+        with pytest.raises(ValueError, match="can't be read"):
+            table.rows(version)
+
+
 def test_metadata_tables(spark, tmp_path):
     root = tmp_path / "i"
     (root / "metadata").mkdir(parents=True)
