@@ -244,34 +244,46 @@ def append_compaction(files: DataFrame, target: int, min_files: int = 5) -> Data
     return bins.groupBy("part", "bin").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")).filter((F.col("files") >= min_files) | (F.col("bytes") >= 2 * target))
 
 
-def pick_runs(sizes: list[int], levels: list[int], trigger: int = 5, max_amplification: int = 200, ratio: int = 1) -> tuple[str, int]:
-    """Universal compaction over sorted runs, newest first: which rule fires and how many runs it takes."""
-    if len(sizes) > 1 and sum(sizes[:-1]) * 100 > max_amplification * sizes[-1] and len(sizes) >= trigger:
-        return "SIZE_AMPLIFICATION", len(sizes)
-    if len(sizes) >= trigger:
-        taken, total = 1, sizes[0]
-        while taken < len(sizes) and total * (100 + ratio) / 100 >= sizes[taken]:
+def pick_runs(sizes: list[int], levels: list[int], trigger: int = 5, max_amplification: int = 200, ratio: int = 1, top: int = 5) -> tuple[str, int, int | None]:
+    """Universal compaction over sorted runs, newest first: which rule fires, how many runs it takes and the level they go to."""
+    n = len(sizes)
+    if n < trigger:
+        return "NONE", 0, None
+    if sum(sizes[:-1]) * 100 > max_amplification * sizes[-1]:
+        return "SIZE_AMPLIFICATION", n, top
+    for rule, taken in (("SIZE_RATIO", 1), ("RUN_COUNT", n - trigger + 1)):  # the first so many runs, and then on while runs are of like size
+        total = sum(sizes[:taken])
+        while taken < n and sizes[taken] * 100 <= total * (100 + ratio):
             total += sizes[taken]
             taken += 1
         if taken > 1:
-            return "SIZE_RATIO", taken
-    if len(sizes) > trigger:
-        return "RUN_COUNT", len(sizes) - trigger + 1
-    return "NONE", 0
+            return (rule, *_landing(levels, taken, top))
+    return "NONE", 0, None
+
+
+def _landing(levels: list[int], taken: int, top: int) -> tuple[int, int]:
+    """Runs taken and their new level: below the first run that stays, but never level 0, so that level-0 runs join up to
+    the first run of a higher level, into that level; all runs go to the top."""
+    if taken < len(levels) and levels[taken] > 1:
+        return taken, levels[taken] - 1
+    higher = [k for k in range(taken, len(levels)) if levels[k] > 0]
+    if not higher or higher[0] == len(levels) - 1:
+        return len(levels), top
+    return higher[0] + 1, levels[higher[0]]
 
 
 def compactions(files: DataFrame, by: list[str], **options: int) -> DataFrame:
-    """Each bucket's pick (rule, runs)."""
+    """Each bucket's pick (rule, runs, output_level)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         zero = group[group.level == 0].sort_values("file", ascending=False)
         rest = group[group.level > 0].groupby("level")["bytes"].sum().sort_index()
         sizes, levels = [*zero["bytes"].tolist(), *rest.tolist()], [0] * len(zero) + rest.index.tolist()
-        rule, runs = pick_runs(sizes, levels, **options)
-        return pd.DataFrame({**{b: [group[b].iloc[0]] for b in by}, "rule": [rule], "runs": [runs]})
+        rule, runs, level = pick_runs(sizes, levels, **options)
+        return pd.DataFrame({**{b: [group[b].iloc[0]] for b in by}, "rule": [rule], "runs": [runs], "output_level": pd.array([level], "Int64")})
 
     kinds = dict(files.dtypes)
-    return files.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", rule string, runs long")
+    return files.groupBy(*by).applyInPandas(run, ", ".join(f"{b} {kinds[b]}" for b in by) + ", rule string, runs long, output_level long")
 
 
 def full_compaction(sectioned: DataFrame, top_level: int) -> DataFrame:

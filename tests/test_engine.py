@@ -262,8 +262,15 @@ def test_bins_hold_their_target(sizes, lookback):
 
 
 def test_universal_pick():
-    assert planners.pick_runs([1, 1, 1, 1, 1], [0] * 5) == ("SIZE_AMPLIFICATION", 5)
-    assert planners.pick_runs([1, 1, 1, 1, 100], [0] * 5)[0] == "SIZE_RATIO" and planners.pick_runs([1, 100], [0, 1]) == ("NONE", 0)
+    assert planners.pick_runs([1, 1, 1, 1, 1], [0] * 5) == ("SIZE_AMPLIFICATION", 5, 5)
+    assert planners.pick_runs([1, 1, 1, 1, 100], [0, 0, 0, 0, 5]) == ("SIZE_RATIO", 4, 4) and planners.pick_runs([1, 100], [0, 1]) == ("NONE", 0, None)
+    # the forced runs, and on from there by size
+    assert planners.pick_runs([1, 100, 1, 1, 1, 1000], [0, 0, 0, 0, 0, 5]) == ("RUN_COUNT", 5, 4)
+    # level-0 runs left over join, up to the first run of a higher level
+    assert planners.pick_runs([1, 1, 50, 60, 900, 9000], [0, 0, 0, 0, 3, 5]) == ("SIZE_RATIO", 5, 3)
+    assert planners.pick_runs([1, 1, 50, 60, 900], [0, 0, 0, 0, 3]) == ("SIZE_RATIO", 5, 5)
+    assert planners.pick_runs([10, 20, 40, 80, 900], [0, 0, 0, 0, 5]) == ("NONE", 0, None)
+    assert planners.pick_runs([1, 1, 90, 900], [0, 1, 2, 5], trigger=4) == ("SIZE_RATIO", 2, 1)
 
 
 def test_expiry(spark):
