@@ -349,6 +349,11 @@ def test_log_table(spark, log_table):
     assert table.plan("expire", 10**9, least=1, most=2).filter("expired").count() >= 1
 
 
+@pytest.mark.parametrize("word", ["TIMESTAMP", "timestamp_ntz", "Timestamp_LTZ"])
+def test_timestamp_literals(word):
+    assert parse(f"t >= {word} '2000-01-01 00:00:00'") == parse("t >= timestamp '2000-01-01 00:00:00'")
+
+
 def test_lookup_with_fates(spark, log_table):
     table = open_table(spark, log_table)
     got = {(r.id, r._file, r._pos, r._fate) for r in table.fates("id >= 2 AND p = 'x'").collect()}
