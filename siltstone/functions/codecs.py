@@ -390,3 +390,94 @@ def vector_blob_raw(data: bytes) -> np.ndarray:
     if struct.unpack_from(">I", data, 4 + size)[0] != zlib.crc32(body):
         raise ValueError("the deletion vector's checksum differs")
     return roaring64(body, 4)
+
+
+#: Magics of the two bitmaps, and magic and version of the file-index container.
+BITMAP32_MAGIC = 1581511376
+FILE_INDEX_MAGIC, FILE_INDEX_VERSION = 1493475289347502, 1
+
+
+def bucket_vector(data: bytes, offset: int, length: int) -> np.ndarray:
+    """Positions of one vector of a bucket's index file: a version byte, and at the offset a big-endian size, magic, bitmap
+    and CRC-32. The recorded length of a 32-bit bitmap is that size, that of a 64-bit one the whole blob."""
+    if not data or data[0] != 1:
+        raise ValueError("an index file of another version")
+    if offset < 1 or offset + 8 > len(data):
+        raise ValueError("the vector lies outside its file")
+    size = struct.unpack_from(">i", data, offset)[0]
+    body = data[offset + 4 : offset + 4 + max(size, 0)]
+    if size < 4 or offset + 8 + size > len(data):
+        raise ValueError("the vector lies outside its file")
+    wide = body[:4] == VECTOR_MAGIC
+    if length != size + (8 if wide else 0):
+        raise ValueError(f"{length} bytes are recorded for a vector of {size}")
+    if struct.unpack_from(">I", data, offset + 4 + size)[0] != zlib.crc32(body):
+        raise ValueError("the deletion vector's checksum differs")
+    if wide:
+        return roaring64(body, 4)
+    if struct.unpack_from(">i", body)[0] != BITMAP32_MAGIC:
+        raise ValueError("not a deletion vector")
+    return roaring32(body, 4)[0]
+
+
+def bucket_vectors_encode(vectors: list[tuple[list[int], bool]]) -> tuple[bytes, list[tuple[int, int]]]:
+    """An index file of (positions, wide) vectors and the (offset, length) of each, for fixtures and round trips."""
+    out, ranges = b"\x01", []
+    for positions, wide in vectors:
+        body = VECTOR_MAGIC + roaring64_encode(positions) if wide else struct.pack(">i", BITMAP32_MAGIC) + roaring32_encode(positions)
+        ranges.append((len(out), len(body) + (8 if wide else 0)))
+        out += struct.pack(">i", len(body)) + body + struct.pack(">I", zlib.crc32(body))
+    return out, ranges
+
+
+def file_index(data: bytes) -> dict[str, list[tuple[str, bytes | None]]]:
+    """The indexes (type, bytes; None: left empty) of each column of a file-index container. Its head gives every index's
+    place, measured from the container's start."""
+    magic, version, head = struct.unpack_from(">qii", data)
+    if magic != FILE_INDEX_MAGIC or version != FILE_INDEX_VERSION:
+        raise ValueError("not a file index of this version")
+    at = 16
+
+    def number() -> int:
+        nonlocal at
+        at += 4
+        return struct.unpack_from(">i", data, at - 4)[0]
+
+    def word() -> str:
+        nonlocal at
+        n = struct.unpack_from(">H", data, at)[0]
+        at += 2 + n
+        return data[at - n : at].decode()
+
+    out: dict[str, list[tuple[str, bytes | None]]] = {}
+    for _ in range(number()):
+        column = word()
+        own = out.setdefault(column, [])
+        for _ in range(number()):
+            kind, start, length = word(), number(), number()
+            if start != -1 and (start < head or start + length > len(data)):
+                raise ValueError(f"the {kind} index of {column} lies outside its container")
+            own.append((kind, None if start == -1 else data[start : start + length]))
+    return out
+
+
+def file_index_encode(columns: dict[str, list[tuple[str, bytes | None]]]) -> bytes:
+    """A container, for fixtures and round trips."""
+    word = lambda s: struct.pack(">H", len(s.encode())) + s.encode()
+    size = 20 + sum(len(word(c)) + 4 + sum(len(word(k)) + 8 for k, _ in own) for c, own in columns.items())
+    head, body = struct.pack(">i", len(columns)), b""
+    for c, own in columns.items():
+        head += word(c) + struct.pack(">i", len(own))
+        for kind, content in own:
+            head += word(kind) + struct.pack(">ii", -1 if content is None else size + len(body), len(content or b""))
+            body += content or b""
+    return struct.pack(">qii", FILE_INDEX_MAGIC, FILE_INDEX_VERSION, size) + head + body
+
+
+def bloom_bytes(bloom: Bloom) -> bytes:
+    """A stored filter: the number of probes, then the bits, lowest first in each byte."""
+    return struct.pack(">i", bloom.probes) + np.packbits(bloom.bits, bitorder="little").tobytes()
+
+
+def bloom_of(data: bytes) -> Bloom:
+    return Bloom(np.unpackbits(np.frombuffer(data, np.uint8, offset=4), bitorder="little").astype(bool), struct.unpack_from(">i", data)[0])

@@ -51,6 +51,45 @@ def chain(snapshots: DataFrame, of: int) -> DataFrame:
     )
 
 
+def tracks(snapshots: DataFrame, branches: DataFrame) -> DataFrame:
+    """(snapshot_id, line, track): the order snapshots are drawn in and the column of each, so that a fork reads as lines side
+    by side. snapshots (snapshot_id, parent_id, at_ms, sequence), branches (branch, snapshot_id, made: the metadata version
+    that made it, or null).
+
+    A snapshot's first child stays in its column, each later one opens a column of its own, and none is used twice. First is
+    the child on the older line (main, then branches by age and name), then the older child. One row a snapshot of a table's
+    metadata is walked on the driver, as in `ancestors`."""
+    own = {r.snapshot_id: r for r in snapshots.select("snapshot_id", "parent_id", "at_ms", "sequence").toLocalIterator()}
+    last = float("inf")
+    known = lambda v: last if v is None else v
+    tips = sorted(branches.select("branch", "snapshot_id", "made").toLocalIterator(), key=lambda r: (r.branch != "main", known(r.made), r.branch))
+    rank: dict[int, int] = {}
+    for k, tip in enumerate(tips):
+        at = tip.snapshot_id
+        while at in own and at not in rank:
+            rank[at] = k
+            at = own[at].parent_id
+    age = lambda k: (known(own[k].at_ms), known(own[k].sequence), k)
+    children: dict[int, list[int]] = {}
+    for k, r in own.items():
+        if r.parent_id in own:
+            children.setdefault(r.parent_id, []).append(k)
+    for found in children.values():
+        found.sort(key=lambda k: (rank.get(k, last), *age(k)))
+    stack = sorted((k for k, r in own.items() if r.parent_id not in own), key=age, reverse=True)
+    rows, column, opened = {}, {}, 0
+    while stack:
+        at = stack.pop()
+        if at not in column:
+            column[at], opened = opened, opened + 1
+        rows[at] = (at, len(rows), column[at])
+        for n, child in enumerate(children.get(at, [])):
+            column[child] = column[at] if n == 0 else opened
+            opened += n > 0
+        stack += reversed(children.get(at, []))
+    return snapshots.sparkSession.createDataFrame(list(rows.values()), "snapshot_id long, line long, track long")
+
+
 def as_of(snapshots: DataFrame, times: DataFrame) -> DataFrame:
     """times (t) with the newest snapshot at or before each: one sort of both sides and a running last value, no range join."""
     a = times.select(F.col("t"), F.lit(None).cast("long").alias("snapshot_id"), F.lit(1).alias("side"))

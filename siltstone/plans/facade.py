@@ -34,20 +34,20 @@ class Table:
         return own.groupBy(F.col("version").alias("snapshot_id")).agg(at.alias("at_ms")).select("snapshot_id", F.when(F.col("snapshot_id") > 0, F.col("snapshot_id") - 1).alias("parent_id"), "at_ms")
 
     def live_files(self, version: int | None = None) -> DataFrame:
-        """(path, size, rows) of the files that stand."""
+        """(path, size, rows) of the data files that stand."""
         if self.format == files.DELTA:
             return delta.state(self.spark, self.path, version).select("path", "size", F.col("num_records").alias("rows"))
         if self.format == files.ICEBERG:
-            lists = [r.manifest_list for r in iceberg.snapshots(iceberg.newest(self.spark, self.path)).orderBy(F.desc("sequence")).limit(1).collect()]
-            manifests = [r.manifest_path for r in iceberg.manifests(self.spark, lists).filter("error IS NULL").collect()] if lists else []
-            rows = iceberg.entries(self.spark, manifests).filter("status <> 2") if manifests else None
-            return rows.select(F.col("file_path").alias("path"), F.col("file_size_in_bytes").alias("size"), F.col("record_count").alias("rows")).distinct() if rows is not None else self.spark.createDataFrame([], "path string, size long, rows long")
-        raise ValueError(f"live files of {self.format} tables need their manifests decoded")
+            rows = iceberg.live_files(self.spark, iceberg.version(self.spark, self.path, version)).filter("content = 0")
+            return rows.select(F.col("file_path").alias("path"), F.col("file_size_in_bytes").alias("size"), F.col("record_count").alias("rows")).distinct()
+        return paimon.live_files(self.spark, paimon.version(self.spark, self.path, version)).select("path", "size", "rows")
 
     def rows(self, version: int | None = None) -> DataFrame:
-        if self.format != files.DELTA:
-            raise ValueError(f"rows of {self.format} tables are read through their data files")
-        return delta.rows(self.spark, self.path, version)
+        if self.format == files.PAIMON:
+            return paimon.rows(self.spark, self.path, version)
+        if self.format == files.DELTA:
+            return delta.rows(self.spark, self.path, version)
+        return iceberg.row_fates(self.spark, self.path, version).filter("_fate = 'LIVE'").drop("_file", "_pos", "_fate")
 
     # ---- verbs
 
@@ -57,8 +57,6 @@ class Table:
         out = snapshots.agg(F.count(F.lit(1)).cast("string").alias("snapshots"), F.max("snapshot_id").cast("string").alias("newest"))
         cells = F.array(F.struct(F.lit("format").alias("figure"), F.lit(self.format).alias("value")), *[F.struct(F.lit(c).alias("figure"), F.col(c).alias("value")) for c in out.columns])
         head = out.select(F.explode(cells).alias("cell")).select("cell.*")
-        if self.format == files.PAIMON:
-            return head
         sums = self.live_files().agg(F.count(F.lit(1)).cast("string").alias("files"), F.sum("size").cast("string").alias("bytes"), F.sum("rows").cast("string").alias("rows"))
         cells = F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).alias("value")) for c in sums.columns])
         return head.unionAll(sums.select(F.explode(cells).alias("cell")).select("cell.*"))
@@ -84,22 +82,25 @@ class Table:
         last = F.array_max(F.transform("snapshots", lambda s: s["sequence-number"]))
         return checks.report([checks.check(newest, "metadata", F.col("name"), {"last-column-id": (F.col("last-column-id"), counted), "last-sequence-number": (F.col("last-sequence-number"), last)})])
 
+    def _source(self):
+        return {files.DELTA: delta, files.ICEBERG: iceberg, files.PAIMON: paimon}[self.format]
+
     def scan_plan(self, where: str, version: int | None = None) -> DataFrame:
         """(path, size, rows, skipped) of the live files: what a filter can leave unread."""
-        if self.format != files.DELTA:
-            raise ValueError(f"statistics of {self.format} files are read through their manifests")
-        return delta.plan(self.spark, self.path, predicates.parse(where), version).select("path", "size", "rows", "skipped")
+        return self._source().plan(self.spark, self.path, predicates.parse(where), version).select("path", "size", "rows", "skipped")
 
     def fates(self, where: str, version: int | None = None) -> DataFrame:
         """Rows a filter matches in the files it can't skip, dead ones too, with _file, _pos and _fate."""
-        if self.format != files.DELTA:
-            raise ValueError(f"rows of {self.format} tables are read through their data files")
         parsed = predicates.parse(where)
-        kept = delta.plan(self.spark, self.path, parsed, version).filter("NOT skipped").select("path", "vector", "partition_values")
-        return delta.row_fates(self.spark, self.path, version, kept).filter(predicates.to_column(parsed))
+        kept = self._source().plan(self.spark, self.path, parsed, version).filter("NOT skipped")
+        return self._source().row_fates(self.spark, self.path, version, kept).filter(predicates.to_column(parsed))
 
     def lookup(self, where: str, version: int | None = None) -> DataFrame:
         """Rows a filter matches at a version."""
+        if self.format == files.PAIMON:  # a combined row may match where none of its records does
+            parsed = predicates.parse(where)
+            kept = paimon.plan(self.spark, self.path, parsed, version).filter("NOT skipped")
+            return paimon.rows(self.spark, self.path, version, kept).filter(predicates.to_column(parsed))
         return self.fates(where, version).filter("_fate = 'LIVE'").drop("_file", "_pos", "_fate")
 
     def changes(self, low: int = 0, high: int | None = None) -> DataFrame:

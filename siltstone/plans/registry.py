@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.plans import fixtures, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["scans", "merges", "upkeep", "integrity", "tables", "further", "reports"]
+MODULES = ["scans", "merges", "upkeep", "integrity", "tables", "further", "reports", "snapshot_tables"]
 _ALL = {name: q for m in MODULES for name, q in import_module(f"siltstone.plans.{m}").QUERIES.items()}
 
 

@@ -112,6 +112,53 @@ def _unpack(block: bytes, codec: str) -> bytes:
     raise ValueError(f"unknown codec {codec}")
 
 
+def _press(block: bytes, codec: str) -> bytes:
+    if codec == "null":
+        return block
+    if codec == "deflate":
+        press = zlib.compressobj(wbits=-15)
+        return press.compress(block) + press.flush()
+    if codec == "zstandard":
+        import zstandard
+
+        return zstandard.ZstdCompressor().compress(block)
+    if codec == "bzip2":
+        import bz2
+
+        return bz2.compress(block)
+    if codec == "xz":
+        import lzma
+
+        return lzma.compress(block)
+    raise ValueError(f"no writer for codec {codec}")
+
+
+def _number(n: int) -> bytes:
+    n = (n << 1) ^ (n >> 63)
+    out = b""
+    while n & ~0x7F:
+        out += bytes([n & 0x7F | 0x80])
+        n >>= 7
+    return out + bytes([n])
+
+
+def transcode(data: bytes, codec: str = "deflate") -> bytes:
+    """The same container under another codec. Blocks are unpacked and packed again; no record is decoded."""
+    _, meta, r = header(data)
+    old = meta.get("avro.codec", b"null").decode()
+    meta = {**meta, "avro.codec": codec.encode()}
+    sync = r.read(16)
+    heads = _number(len(meta)) + b"".join(_number(len(k.encode())) + k.encode() + _number(len(v)) + v for k, v in meta.items()) + _number(0)
+    out = [MAGIC, heads, sync]
+    while r.tell() < len(data):
+        n, block = r.long(), r.bytes()
+        if r.read(16) != sync:
+            raise ValueError("a sync marker is missing")
+        block = _press(_unpack(block, old), codec)
+        out += [_number(n), _number(len(block)), block, sync]
+    return b"".join(out)
+
+
 def header(data: bytes) -> tuple[dict, dict[str, bytes], Reader]:
     """The schema, the key-value header, and a reader behind them."""
     r = Reader(data)
@@ -188,29 +235,25 @@ def read_avro(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def write_records(schema: dict, rows: list[dict], codec: str = "null", meta: dict[str, bytes] | None = None) -> bytes:
     """A container file, for fixtures and round trips."""
-
-    def number(n: int) -> bytes:
-        n = (n << 1) ^ (n >> 63)
-        out = b""
-        while n & ~0x7F:
-            out += bytes([n & 0x7F | 0x80])
-            n >>= 7
-        return out + bytes([n])
+    named: dict[str, dict] = {}
 
     def put(x, s) -> bytes:
+        if isinstance(s, dict) and "name" in s:
+            named[s["name"]] = s
+        s = named.get(s, s) if isinstance(s, str) else s
         kind = s if isinstance(s, str) else "union" if isinstance(s, list) else s["type"]
         if isinstance(kind, (dict, list)):
             return put(x, kind)
         if kind == "union":
             k = next(i for i, o in enumerate(s) if (o == "null") == (x is None))
-            return number(k) + put(x, s[k])
+            return _number(k) + put(x, s[k])
         if kind == "null":
             return b""
         if kind in ("int", "long"):
-            return number(x)
+            return _number(x)
         if kind in ("string", "bytes"):
             body = x.encode() if isinstance(x, str) else x
-            return number(len(body)) + body
+            return _number(len(body)) + body
         if kind == "boolean":
             return bytes([x])
         if kind == "float":
@@ -220,15 +263,12 @@ def write_records(schema: dict, rows: list[dict], codec: str = "null", meta: dic
         if kind == "fixed":
             return x
         if kind == "record":
-            return b"".join(put(x[f["name"]], f["type"]) for f in s["fields"])
+            return b"".join(put(x.get(f["name"]), f["type"]) for f in s["fields"])
         if kind == "array":
-            return (number(len(x)) + b"".join(put(v, s["items"]) for v in x) if x else b"") + number(0)
-        return (number(len(x)) + b"".join(put(k, "string") + put(v, s["values"]) for k, v in x.items()) if x else b"") + number(0)
+            return (_number(len(x)) + b"".join(put(v, s["items"]) for v in x) if x else b"") + _number(0)
+        return (_number(len(x)) + b"".join(put(k, "string") + put(v, s["values"]) for k, v in x.items()) if x else b"") + _number(0)
 
-    body = b"".join(put(r, schema) for r in rows)
-    if codec == "deflate":
-        press = zlib.compressobj(wbits=-15)
-        body = press.compress(body) + press.flush()
+    body = _press(b"".join(put(r, schema) for r in rows), codec)
     sync = bytes(range(16))
     heads = {"avro.schema": json.dumps(schema).encode(), "avro.codec": codec.encode(), **(meta or {})}
-    return MAGIC + put(heads, {"type": "map", "values": "bytes"}) + sync + number(len(rows)) + number(len(body)) + body + sync
+    return MAGIC + put(heads, {"type": "map", "values": "bytes"}) + sync + _number(len(rows)) + _number(len(body)) + body + sync

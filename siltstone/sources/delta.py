@@ -42,7 +42,7 @@ def log(spark: SparkSession, table: str) -> DataFrame:
 
 def commits(spark: SparkSession, table: str, low: int = 0, high: int | None = None) -> DataFrame:
     """One row for each action, with version and its order in the commit; one scan over the commits of the range."""
-    paths = [f"{table}/_delta_log/{r.name}" for r in log(spark, table).filter("kind = 'COMMIT'").collect() if r.version >= low and (high is None or r.version <= high)]
+    paths = [files.escaped(f"{table}/_delta_log/{r.name}") for r in log(spark, table).filter("kind = 'COMMIT'").collect() if r.version >= low and (high is None or r.version <= high)]
     if not paths:
         return spark.createDataFrame([], T.StructType.fromDDL(f"{ACTIONS}, version bigint, ord bigint"))
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("ord"))
@@ -92,12 +92,12 @@ def checkpoint(spark: SparkSession, table: str, version: int) -> DataFrame | Non
     found = checkpoint_files(spark, table, version)
     if not found or found[0] != version:
         return None
-    paths = [f"{table}/_delta_log/{n}" for n in found[1]]
+    paths = [files.escaped(f"{table}/_delta_log/{n}") for n in found[1]]
     kinds = T.StructType.fromDDL(f"{ACTIONS}, sidecar struct<path:string,sizeInBytes:bigint,modificationTime:bigint>")
     rows = spark.read.schema(kinds).format("parquet" if paths[0].endswith("parquet") else "json").load(paths)
     side = [r.path for r in rows.filter("sidecar IS NOT NULL").select("sidecar.path").collect()]  # a name for millions of actions
     if side:
-        rows = rows.unionByName(spark.read.schema(kinds).parquet(*[p if "/" in p else f"{table}/_delta_log/_sidecars/{p}" for p in side]))
+        rows = rows.unionByName(spark.read.schema(kinds).parquet(*[files.escaped(p if "/" in p else f"{table}/_delta_log/_sidecars/{p}") for p in side]))
     return rows.drop("sidecar")
 
 
@@ -130,22 +130,6 @@ def schema(actions: DataFrame) -> T.StructType | None:
     return T.StructType.fromJson(json.loads(row.schemaString)) if row and row.schemaString else None
 
 
-def _root(spark: SparkSession, table: str) -> str:
-    """The table's folder without scheme and authority."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
-
-
-def _whole(path: Column, root: str) -> Column:
-    """A decoded path as one below the file system's root: relative ones are the table's, a scheme and authority go."""
-    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    return F.regexp_replace(F.when(bare.startswith("/"), bare).otherwise(F.concat(F.lit(root + "/"), bare)), "/+", "/")
-
-
-def _escaped(path: str) -> str:
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
-
-
 def dead_positions(live: DataFrame, table: str) -> DataFrame:
     """(path, pos) of the rows that live files' vectors delete. Vectors are decoded on the executors; a file of vectors is
     read once, whatever number of data files share it."""
@@ -160,13 +144,13 @@ def dead_positions(live: DataFrame, table: str) -> DataFrame:
     def place(kind, text):
         return pd.Series([vector_path(k, t) for k, t in zip(kind, text, strict=True)])
 
-    root = _root(spark, table)
-    owned = owned.withColumn("at", _whole(url_path(place("storageType", "pathOrInlineDv")), root))
+    root = files.root_path(spark, table)
+    owned = owned.withColumn("at", files.whole_path(url_path(place("storageType", "pathOrInlineDv")), root))
     shared = [r.at for r in owned.filter("storageType <> 'i'").select("at").distinct().collect()]  # files of vectors, each for many data files
     scheme = table[: len(table) - len(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", table))]
     contents = spark.createDataFrame([], "file string, content binary")
     if shared:
-        contents = spark.read.format("binaryFile").load([_escaped(scheme + p) for p in shared]).select(_whole(url_path(F.col("path")), root).alias("file"), "content")
+        contents = spark.read.format("binaryFile").load([files.escaped(scheme + p) for p in shared]).select(files.whole_path(url_path(F.col("path")), root).alias("file"), "content")
     joined = owned.join(contents, F.col("at") == F.col("file"), "left")
 
     def decode(batches):
@@ -196,22 +180,22 @@ def vector_path(kind: str, text: str) -> str:
     return f"{prefix + '/' if prefix else ''}deletion_vector_{uuid.UUID(bytes=codecs.z85_decode(encoded))}.bin"
 
 
-def row_fates(spark: SparkSession, table: str, version: int | None = None, files: DataFrame | None = None) -> DataFrame:
-    """Every row of the live files (or of `files`, some of them) of a table without column mapping, with partition values as
+def row_fates(spark: SparkSession, table: str, version: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Every row of the live files (or of `only`, some of them) of a table without column mapping, with partition values as
     constants, and its _file, _pos and _fate: LIVE or DELETED_BY_VECTOR. Files are told by their whole paths."""
     own = actions(spark, table, version)
     kinds, meta = schema(own), latest(own, "metaData").first()
     parts = meta.partitionColumns or []
-    live = files if files is not None else state(spark, table, version)
-    root = _root(spark, table)
+    live = only if only is not None else state(spark, table, version)
+    root = files.root_path(spark, table)
     paths = [r.path for r in live.select("path").distinct().collect()]  # what a reader must be given: one name a file
     if not paths:
         return spark.createDataFrame([], T.StructType([*kinds, *T.StructType.fromDDL("_file string, _pos long, _fate string")]))
     stored = T.StructType([f for f in kinds if f.name not in parts])
     whole = lambda p: p if p.startswith("/") or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", p) else f"{table}/{p}"
-    data = spark.read.schema(stored).parquet(*[_escaped(whole(p)) for p in paths])
-    data = data.select("*", F.col("_metadata.row_index").alias("__pos"), _whole(url_path(F.col("_metadata.file_path")), root).alias("__file"))
-    facts = live.select(F.col("path").alias("__path"), F.col("partition_values").alias("__values"), _whole(F.col("path"), root).alias("__at"))
+    data = spark.read.schema(stored).parquet(*[files.escaped(whole(p)) for p in paths])
+    data = data.select("*", F.col("_metadata.row_index").alias("__pos"), files.whole_path(url_path(F.col("_metadata.file_path")), root).alias("__file"))
+    facts = live.select(F.col("path").alias("__path"), F.col("partition_values").alias("__values"), files.whole_path(F.col("path"), root).alias("__at"))
     data = data.join(facts, F.col("__file") == F.col("__at"))
     dead = dead_positions(live, table).select(F.col("path").alias("__of"), F.col("pos").alias("__dead"))
     data = data.join(dead, (F.col("__path") == F.col("__of")) & (F.col("__pos") == F.col("__dead")), "left")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ICEBERG, PAIMON, DELTA, UNKNOWN = "ICEBERG", "PAIMON", "DELTA", "UNKNOWN"
@@ -42,6 +45,85 @@ def tables(spark: SparkSession, root: str, depth: int = 4) -> dict[str, str]:
     return out
 
 
+def glob(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+    """(path, size) of the files a pattern names, on any file system that Hadoop knows (s3a, gs, abfss, webhdfs, hdfs, file)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted((s.getPath().toString(), s.getLen()) for s in found or [] if s.isFile())
+
+
+def content(spark: SparkSession, path: str, most: int = 64 << 20) -> bytes:
+    """A small file of metadata, whole; a larger one is refused, as it would have to pass through the driver."""
+    row = spark.read.format("binaryFile").load(escaped(path)).select("length", F.when(F.col("length") <= most, F.col("content")).alias("content")).first()
+    if row.content is None:
+        raise ValueError(f"{path} has {row.length} bytes")
+    return bytes(row.content)
+
+
+class ReadOnly:
+    """A file system as this engine uses it: listing and reading; whatever would change it is refused by its type."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+
+    def names(self, folder: str) -> list[str]:
+        return names(self._spark, folder)
+
+    def glob(self, pattern: str) -> list[tuple[str, int]]:
+        return glob(self._spark, pattern)
+
+    def content(self, path: str) -> bytes:
+        return content(self._spark, path)
+
+    def _refuse(self, *_, **__):
+        raise PermissionError("tables are only read")
+
+    create = append = delete = rename = mkdirs = copy = set_attribute = _refuse
+
+
+@dataclass(frozen=True)
+class Credential:
+    """Keys of one bucket or account. They go to the session's Hadoop settings and nowhere else, and are never shown."""
+
+    scheme: str  # s3a, gs or abfss
+    bucket: str
+    key: str
+    secret: str = field(repr=False)
+    endpoint: str | None = None
+
+    def settings(self) -> dict[str, str]:
+        if self.scheme in ("s3", "s3a"):
+            out = {f"fs.s3a.bucket.{self.bucket}.access.key": self.key, f"fs.s3a.bucket.{self.bucket}.secret.key": self.secret}
+            return out | ({f"fs.s3a.bucket.{self.bucket}.endpoint": self.endpoint} if self.endpoint else {})
+        if self.scheme == "gs":
+            return {"fs.gs.auth.type": "SERVICE_ACCOUNT_JSON_KEYFILE", "fs.gs.auth.service.account.json.keyfile": self.secret}
+        if self.scheme == "abfss":
+            return {f"fs.azure.account.key.{self.bucket}": self.secret}
+        raise ValueError(f"no credentials for scheme {self.scheme}")
+
+    def apply(self, spark: SparkSession) -> None:
+        conf = spark._jsc.hadoopConfiguration()
+        for k, v in self.settings().items():
+            conf.set(k, v)
+
+
+def root_path(spark: SparkSession, table: str) -> str:
+    """The table's folder without scheme and authority."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
+
+
+def whole_path(path: Column, root: str) -> Column:
+    """A decoded path as one below the file system's root: relative ones are the table's, a scheme and authority go."""
+    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.regexp_replace(F.when(bare.startswith("/"), bare).otherwise(F.concat(F.lit(root + "/"), bare)), "/+", "/")
+
+
+def escaped(path: str) -> str:
+    """A path for a reader that would take brackets, braces and stars for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """Every file below a folder (path, size, modified in ms); contents are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
