@@ -4,7 +4,8 @@ Words are lower-cased runs free of white space and ASCII punctuation. A copy's s
 item with a passage by Smith-Waterman over words (match 2, mismatch and gap -1), as a share of the item's score against
 itself; `threshold` and above counts as a leak, so edited, shortened and paraphrased copies are found.
 
-The seeds only rule out what cannot reach the threshold. A passing alignment matches at least threshold * m of the item's
+Seeds are n-grams of one word: a longer one is broken by any edit inside it, so a copy edited every few words would hold no
+whole seed though its alignment passes. The seeds only rule out what cannot reach the threshold. A passing alignment matches at least threshold * m of the item's
 m words and covers at most m words and the gaps that the surplus pays for. So of the item's rarest words, as many as may
 be unmatched and `need` more, at least `need` stand within one such stretch of the document, whatever was edited. The words
 are counted over the documents first, in how many each occurs; then each stretch with `need` seeds is widened to hold any
@@ -14,6 +15,8 @@ is the one of aligning every item with every whole document.
 The items are taken in blocks of at most `block_bytes` of text, so what is sent to the executors is bounded whatever the
 benchmark's size; each block is a pass over the documents. Nothing is shuffled but the counts of the items' own words.
 
+Items of fewer than `least_words` words leak nothing: a word or two that a document happens to hold is no copy of a test.
+
 Defined results: null or empty texts, on either side, leak nothing; items that repeat an id are items of their own;
 repeated documents are found once each; a null id is carried; an empty table gives no rows; other columns are ignored.
 n_seeds is the number of the document's words that are seeds of the item.
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import text_hashes, text_or_empty
 
-THRESHOLD, MATCH, PENALTY, BLOCK_BYTES = 0.6, 2, 1, 16 << 20
+THRESHOLD, MATCH, PENALTY, BLOCK_BYTES, LEAST_WORDS = 0.6, 2, 1, 16 << 20, 5
 
 _PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _TABLE = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
@@ -43,12 +46,12 @@ def words_of(text: str) -> list[bytes]:
 class Block:
     """Items of one block, as word numbers from 1 (0 is any other word)."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], least_words: int = LEAST_WORDS):
         self.ids, self.words = [], []
         self.vocabulary: dict[bytes, int] = {}
         for item, text in items:
             words = words_of(text)
-            if words:
+            if len(words) >= max(1, least_words):
                 self.ids.append(item)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
 
@@ -154,17 +157,18 @@ def leaks_in(block: Block, words: np.ndarray, seeds: Seeds) -> list[tuple[int, f
     return out
 
 
-def blocks_of(spark: SparkSession, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks_of(spark: SparkSession, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, least_words: int = LEAST_WORDS) -> Iterator[Block]:
     """The items in blocks of bounded text, one after the other."""
     items, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).toLocalIterator():
-        if items and size + len(row.text) > block_bytes:
-            yield Block(items)
+        n = len(row.text.encode())
+        if items and size + n > block_bytes:
+            yield Block(items, least_words)
             items, size = [], 0
         items.append((row.item_id, row.text))
-        size += len(row.text)
+        size += n
     if items:
-        yield Block(items)
+        yield Block(items, least_words)
 
 
 LEAKS = "doc_id long, item_id long, score double, n_seeds long, start_word long, end_word long"
@@ -211,13 +215,13 @@ def leaking_texts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return leaks(docs, benchmark, hashed=True).select("h1", "h2").distinct()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, hashed: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, hashed: bool = False, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, start_word, end_word): each item that a document holds, with its best passage;
     hashed: and the text's hashes."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *(text_hashes() if hashed else []))
     out = None
-    for block in blocks_of(spark, benchmark, block_bytes):
+    for block in blocks_of(spark, benchmark, block_bytes, least_words):
         found = _of_block(texts, block, threshold)
         if found is not None:
             out = found if out is None else out.unionAll(found)

@@ -193,6 +193,13 @@ def test_alignment_is_smith_waterman():
             assert decontaminate.align(a, b[start:end])[0] == score
 
 
+def test_short_items_leak_nothing(spark):
+    items = spark.createDataFrame([(1, "paris"), (2, "the river runs here"), (3, "one two three four five")], "item_id long, text string")
+    docs = documents(spark, [(1, "we saw paris and the river runs here"), (2, "then one two three four five came")])
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()] == [(2, 3)]
+    assert len(decontaminate.leaks(docs, items, least_words=1).collect()) == 3
+
+
 def test_common_leaks_keep_their_seeds(spark):
     docs = [(i, f"d{i} " + ITEM + f" e{i}") for i in range(200)]
     got = decontaminate.leaks(documents(spark, docs), spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()
