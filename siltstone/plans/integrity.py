@@ -292,7 +292,7 @@ _SIGNED = "SELECT path % 5 AS part, CASE WHEN action = 'add' AND before IS DISTI
 QUERIES = {
     "a14_row_groups": (a14, "SELECT CAST(count(*) AS BIGINT) AS rows FROM orders"),
     "a27_deletion_vectors": (a27, "SELECT file_id, pos FROM {vectors} v"),
-    "a30_z85": (a30, None),
+    "a30_z85": (a30, "SELECT '009c61o!#m2NH?C3>iWS5d]J*' AS t, '000102030405060708090a0b0c0d0e0f10111213' AS hex"),
     "a41_log_path": (a41, "SELECT * FROM (VALUES ('a%20b+c.parquet', 'a b+c.parquet'), ('p=x%2Fy/z', 'p=x/y/z')) t(t, path)"),
     "b1_field_id_projection": (b1, "SELECT n_name AS title, CAST(n_nationkey AS BIGINT) AS code, CAST(n_regionkey AS INTEGER) AS area, CAST(7 AS INTEGER) AS score, CAST(NULL AS VARCHAR) AS gone FROM nation"),
     "b2_nested_projection": (b2, "SELECT n_nationkey AS k, n_name AS name, CAST(n_regionkey AS BIGINT) AS region, CAST(0 AS INTEGER) AS extra, CAST(n_regionkey + 1 AS BIGINT) AS second FROM nation"),

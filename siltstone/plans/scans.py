@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import deletes, predicates, pruning
 from siltstone.plans.fixtures import frame, text
+from siltstone.plans.upkeep import MURMUR, steps_sql
 
 FILTER = "l_shipdate >= DATE '2000-01-01' AND l_quantity < 10"
 KINDS = {"l_shipdate": "timestamp_ntz", "l_quantity": "double", "l_partkey": "bigint", "l_orderkey": "bigint"}
@@ -255,13 +256,16 @@ WHERE = {
 _count = lambda where: f"SELECT file_id, CAST(count(*) AS BIGINT) AS n FROM {{data_rows}} r WHERE {where} GROUP BY file_id"
 _wrong = lambda where, skip: f"SELECT CAST(count(*) FILTER (WHERE {skip}) AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS wrongly FROM {{file_stats}} f"
 
+#: The keys, and the value that is looked for under key -1.
+_BUCKETED = "SELECT p_partkey, CAST(p_partkey AS HUGEINT) AS h FROM part UNION ALL SELECT -1, 1234"
+
 QUERIES = {
     "a11_data_file_scan": (a11, "SELECT o_orderkey, file_row_number AS row_index FROM (SELECT o_orderkey, row_number() OVER () - 1 AS file_row_number FROM orders) WHERE file_row_number < 1000"),
     "a12_sample_rows": (a12, "SELECT *, row_number() OVER () - 1 AS row_index FROM nation LIMIT 20"),
     "a16_position_delete_targets": (a16, "SELECT file_id, CAST(count(*) AS BIGINT) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM {pos_deletes} x GROUP BY file_id"),
     "c15_manifest_pruning": (c15, "SELECT manifest_id, l_shipdate_max < TIMESTAMP '2000-01-01' AS skipped, 'NOT_EVALUATED' AS second FROM {manifest_stats} x"),
     "c16_transform_term": (c16, "SELECT file_id, CAST((year(l_shipdate_min) - 1970) * 12 + month(l_shipdate_min) - 1 AS BIGINT) AS month, (year(l_shipdate_min) - 1970) * 12 + month(l_shipdate_min) - 1 < 360 AS skipped FROM {file_stats} x"),
-    "c17_bucket_term": (c17, None),
+    "c17_bucket_term": (c17, f"WITH b AS (SELECT p_partkey, CAST(h % 16 AS BIGINT) AS b FROM ({steps_sql(_BUCKETED, *MURMUR)}) s) SELECT p_partkey % 97 AS file_id, min(b) > any_value(want) OR max(b) < any_value(want) AS skipped FROM b CROSS JOIN (SELECT b AS want FROM b WHERE p_partkey = -1) t WHERE p_partkey > 0 GROUP BY 1"),
     "c18_like_prefix_term": (c18, "SELECT p_partkey % 50 AS file_id, NOT (left(max(p_name), 6) >= 'part 1' AND left(min(p_name), 6) <= 'part 1') AS skipped FROM part GROUP BY 1"),
     "c19_file_pruning": (c19, "SELECT file_id, NOT (l_shipdate_max >= TIMESTAMP '2000-01-01' AND l_quantity_min < 10) AS skipped FROM {file_stats} x"),
     "c20_column_term": (c20, "SELECT file_id, l_partkey_nulls = 0 AND (l_partkey_min > 100 OR l_partkey_max < 100) AS skipped FROM {file_stats} x"),
