@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import binary_row, codecs, transforms
 from siltstone.operators import checks, deletes, history, merge, planners, predicates, pruning, replay
 from siltstone.plans.fixtures import frame, sql
+from siltstone.plans.upkeep import ordered_sql
 from siltstone.plans.scans import FILTER, KINDS, STATS
 from siltstone.sources import iceberg
 
@@ -463,6 +464,12 @@ def u5(spark, d):
 
 _LIVE = lambda v: f"SELECT path, num_records, size FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY version DESC, ord DESC) AS rn FROM {{actions}} a WHERE version <= {v}) x WHERE rn = 1 AND action = 'add'"
 _V = lambda rows, names: f"SELECT * FROM (VALUES {rows}) t({names})"
+_APPENDED = f"SELECT part, rows AS min_seq, file, greatest(size, {4 << 20}) AS weight FROM {{small_files}} x"
+#: Buckets whose files need a merge: their sections, in order of the least key.
+_SECTIONS = f"""SELECT bucket, unit, count(*) AS n, sum(bytes) AS bytes, greatest(sum(bytes), {4 << 20}) AS weight FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY bucket ORDER BY lo, hi, file ROWS UNBOUNDED PRECEDING) AS unit FROM (
+    SELECT *, CASE WHEN max(hi) OVER (PARTITION BY bucket ORDER BY lo, hi, file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= lo THEN 0 ELSE 1 END AS fresh FROM {{key_ranges}} x) y) z GROUP BY bucket, unit"""
+
 QUERIES = {
     "b3_column_placement": (b3, _V("(CAST(1 AS BIGINT), 'a'), (2, 'b')", "id, column_name")),
     "b4_name_mapping": (b4, _V("('old_s', CAST(1 AS BIGINT)), ('old_s.x', 2), ('s', 1), ('s.x', 2)", "name, id")),
@@ -515,8 +522,8 @@ QUERIES = {
     "l14_rollback_verdicts": (l14, _V("(CAST(79 AS BIGINT), 'NOTHING_TO_DO', CAST(0 AS BIGINT)), (50, 'MOVES', 29), (500, 'UNKNOWN_SNAPSHOT', 0)", "target, verdict, left_behind")),
     "l15_rollback_target_for_a_time": (l15, "SELECT max(snapshot_id) AS snapshot_id FROM {snapshots} s WHERE at_time < TIMESTAMP '1999-03-10'"),
     "l17_branch_fast_forward": (l17, "SELECT snapshot_id, 'REPLACED' AS fate FROM {snapshots} s WHERE snapshot_id >= 70"),
-    "l21_keyed_splits": (l21, None),
-    "l21_append_splits": (l21_append, None),
+    "l21_keyed_splits": (l21, ordered_sql(_SECTIONS, "bucket", "unit", "weight", 256 << 20) + "SELECT bucket, bin AS split, CAST(sum(n) AS BIGINT) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM w GROUP BY bucket, bin"),
+    "l21_append_splits": (l21_append, ordered_sql(_APPENDED, "part", "min_seq, file", "weight", 128 << 20) + "SELECT part, bin, CAST(count(*) AS BIGINT) AS files FROM w GROUP BY part, bin"),
     "l22_engine_partitions": (l22, _V("(CAST(0 AS BIGINT), CAST(1 AS BIGINT)), (1, 0), (2, 2), (3, 3)", "file, partition")),
     "l29_expired_data_files": (l29, "SELECT path FROM (SELECT path, arg_max(action, ord) AS last FROM {actions} a WHERE version <= 6 GROUP BY path) x WHERE last = 'remove' AND path % 5 <> 0 OR (last = 'remove' AND path = 0 AND 0 NOT IN (SELECT p_partkey FROM part))"),
     "l32_tag_deletion": (l32, "SELECT DISTINCT path FROM {referenced} r WHERE snapshot_id = 3 AND path NOT IN (SELECT path FROM {referenced} q WHERE snapshot_id IN (1, 5))"),

@@ -352,6 +352,13 @@ _AFTER = "SELECT * FROM (SELECT *, max(s) FILTER (WHERE kind = 3) OVER (PARTITIO
 _BUCKETS = lambda live, rejected, removing: f"SELECT bucket, CAST(count(*) AS BIGINT) AS keys, CAST(count(*) FILTER (WHERE {live}) AS BIGINT) AS live, CAST(count(*) FILTER (WHERE {rejected}) AS BIGINT) AS rejected FROM ({_STATE(removing)}) s JOIN (SELECT DISTINCT k AS k2, bucket FROM {{lsm_records}} x) b ON s.k = b.k2 GROUP BY bucket"
 _FATES = lambda ladder, removing: f"SELECT k, fate, CAST(count(*) AS BIGINT) AS n FROM (SELECT r.k, CASE {ladder} ELSE 'SUPERSEDED' END AS fate FROM {{lsm_records}} r JOIN ({_STATE(removing)}) st ON r.k = st.k) z GROUP BY k, fate"
 
+#: The fold, a record of each key after the other.
+_FOLD = """WITH RECURSIVE o AS (SELECT k, kind, ga AS g, a AS v, row_number() OVER (PARTITION BY k ORDER BY s) AS rn FROM {lsm_records} x),
+    w AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS g, CAST(NULL AS BIGINT) AS v, FALSE AS alive FROM o
+    UNION ALL SELECT k, rn, CASE WHEN takes AND kind <> 1 THEN new_g ELSE g END, CASE WHEN takes AND kind = 3 THEN NULL WHEN takes AND kind <> 1 THEN new_v ELSE v END, CASE WHEN takes AND kind = 3 THEN FALSE ELSE alive OR kind IN (0, 2) END
+        FROM (SELECT w.k, o.rn, w.g, w.v, w.alive, o.kind, o.g AS new_g, o.v AS new_v, o.g IS NOT NULL AND (w.g IS NULL OR o.g >= w.g) AS takes FROM w JOIN o ON o.k = w.k AND o.rn = w.rn + 1) x)
+    SELECT k, g AS ga, v AS a FROM w WHERE alive AND rn = (SELECT max(rn) FROM o WHERE o.k = w.k)"""
+
 QUERIES = {
     "b10_row_lineage": (b10, "SELECT ord, CAST(coalesce(own, m + coalesce(before, 0)) AS BIGINT) AS first_row_id FROM (SELECT p_partkey AS ord, CASE WHEN p_partkey % 50 = 0 THEN p_partkey * 1000 END AS own, (p_partkey % 20) * 1000000 AS m, sum(p_size) OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM part) x"),
     "c25_key_files_of_a_bucket": (c25, "SELECT file, CASE WHEN hi < 1000 OR lo >= 3000 THEN 'SKIPPED_BY_KEY' WHEN level = 0 THEN 'LEVEL_0' ELSE 'BUCKET_SKIPPED' END AS fate FROM {key_ranges} x"),
@@ -383,7 +390,7 @@ QUERIES = {
     "e26_aggregate_merge": (e26, f"SELECT k, CAST(sum(a) AS BIGINT) AS a, arg_max(b, s) FILTER (WHERE b IS NOT NULL) AS b, max(ga) AS ga FROM ({_AFTER}) z GROUP BY k"),
     "e26_partial_update": (partial, f"SELECT k, arg_max(a, s) FILTER (WHERE a IS NOT NULL) AS a, arg_max(b, s) FILTER (WHERE b IS NOT NULL) AS b FROM ({_AFTER}) z GROUP BY k"),
     "e27_sequence_groups": (e27, "SELECT g.k, g.ga, g.a, h.gb, h.b FROM (SELECT k, ga, a FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ga DESC, s DESC) AS rn FROM {lsm_records} x WHERE kind IN (0, 2)) y WHERE rn = 1) g JOIN (SELECT k, gb, b FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gb DESC, s DESC) AS rn FROM {lsm_records} x WHERE kind IN (0, 2)) y WHERE rn = 1) h ON g.k = h.k"),
-    "e27_sequence_group_fold": (e27_fold, None),
+    "e27_sequence_group_fold": (e27_fold, _FOLD),
     "e28_state_sums": (e28, f"SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(num_records) AS BIGINT) AS rows FROM ({_LIVE(7)}) l"),
     "e32_live_files_of_a_log": (e32, f"SELECT path, num_records AS rows, size AS bytes FROM ({_LIVE(5)}) l"),
     "g1_metadata_order": (g1, "SELECT snapshot_id, parent_id FROM {snapshots} s ORDER BY parent_id NULLS FIRST"),
