@@ -128,6 +128,28 @@ def a32(spark, d):
     return rows.select("snapshot_id", "resolution", F.coalesce("partition", F.lit("none")).alias("part"), F.col("data_record_count").alias("rows"))
 
 
+def i6_bounds(spark, d):
+    """The recorded bounds of the key in every file, decoded."""
+    live = iceberg.live_files(spark, iceberg.version(spark, snapshot_table(spark, d))).filter("content = 0")
+
+    @F.pandas_udf("bigint")
+    def decoded(texts):
+        return texts.map(lambda t: codecs.single_value(bytes.fromhex(t), "long"))
+
+    at = lambda c: decoded(F.get(F.filter(c, lambda x: x.key == 1), F.lit(0))["value"])
+    return live.select(F.get_json_object("partition", "$.k").cast("long").alias("k"), at("lower_bounds").alias("least"), at("upper_bounds").alias("greatest"))
+
+
+def a26_snapshot(spark, d):
+    v = iceberg.version(spark, snapshot_table(spark, d))
+    return iceberg._vectors(spark, v, iceberg.live_files(spark, v)).groupBy(F.regexp_extract("file_id", r"/data/(\d)/", 1).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def e6_snapshot(spark, d):
+    live = iceberg.live_files(spark, iceberg.version(spark, snapshot_table(spark, d)))
+    return live.groupBy(F.col("content").cast("long").alias("content"), "sequence").agg(F.count(F.lit(1)).alias("files"))
+
+
 # ---- a keyed table of records in levels, with manifests and a vector
 
 RECORDS = "SELECT k, s, kind, bucket, level, a, CAST(k % 2 AS INT) AS p FROM {lsm_records} x"
@@ -209,6 +231,18 @@ def e30_keyed(spark, d):
     return own.select(F.col("bucket").cast("long").alias("bucket"), F.col("level").cast("long").alias("level"), "rows")
 
 
+def i9_folders(spark, d):
+    """The folders that the partitions' binary rows and the buckets name; external files have their own."""
+    own = paimon.live_files(spark, paimon.version(spark, keyed_table(spark, d))).filter("bucket < 3")
+    return own.groupBy(F.regexp_extract("path", r"/(p=\d+/bucket-\d+)/", 1).alias("folder")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def i10_keys(spark, d):
+    own = paimon.live_files(spark, paimon.version(spark, keyed_table(spark, d)))
+    ends = [paimon.cells(F.col(f"meta._KEY_STATS.{c}"), ["BIGINT"])[0].cast("long").alias(n) for c, n in (("_MIN_VALUES", "least"), ("_MAX_VALUES", "greatest"))]
+    return own.select(F.col("bucket").cast("long").alias("bucket"), F.col("level").cast("long").alias("level"), *ends)
+
+
 def k4_keyed(spark, d):
     return open_table(spark, keyed_table(spark, d)).fates("a IS NULL OR a > 0").select("k", F.col("v").alias("s"), F.col("_fate").alias("fate"))
 
@@ -349,6 +383,11 @@ QUERIES = {
     "k2_fates_of_a_snapshot": (k2_snapshot, f"SELECT * FROM ({FATES}) f WHERE p_size < 30"),
     "k1_lookup_in_a_snapshot": (k1_snapshot, f"SELECT p_partkey, p_size FROM ({FATES}) f WHERE p_partkey % 4 >= 1 AND p_partkey > 100 AND fate = 'LIVE'"),
     "c21_plan_of_a_snapshot": (c21_snapshot, f"SELECT CAST(k AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS rows, k <> 2 AS skipped FROM ({PARTS}) y GROUP BY k"),
+    "i6_bounds_of_files": (i6_bounds, f"SELECT CAST(k AS BIGINT) AS k, min(p_partkey) AS least, max(p_partkey) AS greatest FROM ({PARTS}) y GROUP BY k"),
+    "a26_vectors_of_a_snapshot": (a26_snapshot, f"SELECT CAST(3 AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS n FROM ({PARTS}) y WHERE k = 3 AND p_partkey % 29 < 3"),
+    "e6_live_files_of_a_snapshot": (e6_snapshot, "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(2 AS BIGINT)), (0, 3, 2), (2, 2, 1), (2, 4, 1), (1, 4, 2)) t(content, sequence, files)"),
+    "i9_partition_folders": (i9_folders, f"SELECT 'p=' || p || '/bucket-' || bucket AS folder, CAST(count(*) AS BIGINT) AS files FROM {_FILES} f WHERE bucket < 3 GROUP BY 1"),
+    "i10_key_bounds_of_files": (i10_keys, "SELECT bucket, CAST(level AS BIGINT) AS level, min(k) AS least, max(k) AS greatest FROM {lsm_records} x GROUP BY bucket, level"),
     "a32_partition_statistics_rows": (a32, "SELECT CAST(4 AS BIGINT) AS snapshot_id, 'RECORDED' AS resolution, 'region=' || n_regionkey AS part, CAST(count(*) AS BIGINT) AS rows FROM nation GROUP BY n_regionkey UNION ALL SELECT 3, 'MISSING', 'none', NULL"),
     "a20_keyed_manifests": (a20, f"SELECT CAST(0 AS BIGINT) AS kind, p, bucket, level, rows, FALSE AS gone FROM {_FILES} f UNION ALL SELECT k, p, bucket, level, rows, TRUE FROM {_FILES} f CROSS JOIN (VALUES (0), (1)) t(k) WHERE bucket = 0 AND level = 0"),
     "a21_index_manifest": (a21, f"SELECT 'DELETION_VECTORS' AS type, CAST(2 AS BIGINT) AS files, CAST(count(*) + 3 AS BIGINT) AS positions FROM ({RECORDS}) x WHERE {DEAD} UNION ALL SELECT 'HASH', 0, 0"),
