@@ -142,7 +142,7 @@ def i6_bounds(spark, d):
 
 def a26_snapshot(spark, d):
     v = iceberg.version(spark, snapshot_table(spark, d))
-    return iceberg._vectors(spark, v, iceberg.live_files(spark, v)).groupBy(F.regexp_extract("file_id", r"/data/(\d)/", 1).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return iceberg.vectors(spark, v, iceberg.live_files(spark, v)).groupBy(F.regexp_extract("file_id", r"/data/(\d)/", 1).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def e6_snapshot(spark, d):

@@ -232,15 +232,16 @@ def _checked(rows: list, kind: str = "PARQUET") -> list:
     return rows
 
 
-def _vectors(spark: SparkSession, v: Version, live: DataFrame) -> DataFrame:
-    """(file_id, pos, delete_key) of deletion vectors, decoded on the executors; a file of vectors is read once."""
+def vectors(spark: SparkSession, v: Version, live: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """(file_id, pos, delete_key) of deletion vectors, decoded on the executors; a file of vectors is read once. paths: those
+    files, if they are known."""
     import pandas as pd
 
     from siltstone.functions import codecs
 
     root = files.root_path(spark, v.table)
     own = live.filter("content = 1 AND content_offset IS NOT NULL").select("at", F.struct(files.whole_path(v.moved(F.col("referenced_data_file")), root).alias("of"), "content_offset", "content_size_in_bytes").alias("r"), v.moved(F.col("file_path")).alias("path"))
-    paths = [r.path for r in own.select("path").distinct().collect()]
+    paths = [r.path for r in own.select("path").distinct().collect()] if paths is None else paths
     if not paths:
         return spark.createDataFrame([], "file_id string, pos long, delete_key string")
     content = spark.read.format("binaryFile").load([files.escaped(p) for p in paths]).select(files.whole_path(url_path(F.col("path")), root).alias("at"), "content")
@@ -278,20 +279,24 @@ def row_fates(spark: SparkSession, table: str, snapshot_id: int | None = None, o
     facts = data.select(F.col("at").alias("file_id"), F.col("sequence").alias("seq"), "spec_id", F.coalesce("partition", F.lit("{}")).alias("partition"), F.col("file_path").alias("__path")).distinct()
     rows = rows.join(facts, "file_id")
 
-    vectors = _vectors(spark, v, live)
-    places = live.filter("content = 1 AND content_offset IS NULL").select(v.moved(F.col("file_path")).alias("path"), "file_format", "at", "sequence")
+    removing = live.filter("content <> 0").select("content", v.moved(F.col("file_path")).alias("path"), "file_format", "equality_ids", "spec_id", F.col("content_offset").isNotNull().alias("vector"))
+    removing = removing.distinct().collect()  # names of delete files
+    dead = vectors(spark, v, live, sorted({r.path for r in removing if r.content == 1 and r.vector}))
+    places = live.filter("content = 1 AND content_offset IS NULL").select("at", "sequence")
     positions = None
-    if found := _checked(places.select("path", "file_format").distinct().collect()):
-        stored = spark.read.schema("file_path string, pos bigint").parquet(*[files.escaped(r.path) for r in found])
+    if found := sorted({r.path for r in _checked([r for r in removing if r.content == 1 and not r.vector])}):
+        stored = spark.read.schema("file_path string, pos bigint").parquet(*[files.escaped(p) for p in found])
         stored = stored.select(files.whole_path(v.moved(F.col("file_path")), root).alias("file_id"), "pos", files.whole_path(url_path(F.col("_metadata.file_path")), root).alias("at"))
         positions = stored.join(places.select("at", F.col("sequence").alias("delete_seq")).distinct(), "at").withColumnRenamed("at", "delete_key")
-        positions = positions.join(vectors.select("file_id").distinct(), "file_id", "left_anti")
-    rows = deletes.with_fate(rows, vectors, positions, None).withColumnRenamed("fate", "__f0")
+        if any(r.vector for r in removing):
+            covered = live.filter("content = 1 AND content_offset IS NOT NULL").select(files.whole_path(v.moved(F.col("referenced_data_file")), root).alias("file_id")).distinct()
+            positions = positions.join(covered, "file_id", "left_anti")
+    rows = deletes.with_fate(rows, dead, positions, None).withColumnRenamed("fate", "__f0")
     fates = ["__f0"]
 
-    own = live.filter("content = 2").select(v.moved(F.col("file_path")).alias("path"), "file_format", "at", "sequence", "spec_id", F.coalesce("partition", F.lit("{}")).alias("partition"), "equality_ids")
+    own = live.filter("content = 2").select("at", "sequence", "spec_id", F.coalesce("partition", F.lit("{}")).alias("partition"))
     groups: dict[tuple, list[str]] = {}
-    for r in _checked(own.select("path", "file_format", "equality_ids", "spec_id").distinct().collect()):
+    for r in _checked([r for r in removing if r.content == 2]):
         groups.setdefault((tuple(sorted(r.equality_ids)), not v.specs.get(r.spec_id)), []).append(r.path)
     current = {k: name for k, name, _ in v.fields}
     for n, ((ids, everywhere), paths) in enumerate(sorted(groups.items()), 1):
