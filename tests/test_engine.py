@@ -512,6 +512,28 @@ def test_whole_tables_equal_sql(spark, name):
     assert sorted((tuple(r) for r in registry.queries()[name](spark, TABLES).collect()), key=str) == _oracle(name)
 
 
+def _events(spark, folder, users: int) -> str:
+    """An events table of two rows a user and two without one."""
+    own = spark.range(2 * users).select(F.col("id").alias("event_id"), (F.col("id") % users * 3 - 30).alias("user_id"), F.lit("view").alias("event_type"))
+    own.union(spark.sql("SELECT -1L, CAST(NULL AS BIGINT), 'view' UNION ALL SELECT -2L, CAST(NULL AS BIGINT), 'view'")).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def _on_events(spark, folder: str, name: str) -> tuple[list, list]:
+    import duckdb
+
+    from siltstone.plans import registry
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    return sorted(map(tuple, registry.queries()[name](spark, folder).collect())), sorted(con.execute(registry.oracle_sql()[name]).fetchall())
+
+
+def test_key_tuples_reach_every_key(spark, tmp_path):
+    got, want = _on_events(spark, _events(spark, tmp_path, 500), "d12_key_tuples")
+    assert got == want and max(k for k, _ in want) > 150 and min(k for k, _ in want) < 0
+
+
 def test_a_moved_table_is_read_where_it_is(spark, tmp_path):
     import shutil
 
