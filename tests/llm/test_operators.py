@@ -329,6 +329,16 @@ def test_odd_white_space_and_added_tokens_give_the_tokenizers_ids():
         assert np.frombuffer(cached.encode(text), "<u2").tolist() == own.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("space", " \n")
+def test_long_white_space_is_encoded(space):
+    from tokenizers import Tokenizer
+
+    tokenizer, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    few, many = (f"a{space * n}b {space}<|endoftext|>{space * 3}c" for n in (2000, 1_000_000))
+    assert np.frombuffer(own.encode(few), "<u2").tolist() == tokenizer.encode(few, add_special_tokens=False).ids
+    assert tokenizer.decode(np.frombuffer(own.encode(many), "<u2").tolist(), skip_special_tokens=False) == many
+
+
 # ---- 6
 
 
