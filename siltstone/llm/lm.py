@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import store, text_or_empty
 
 HEAD, VOCABULARY, HIDDEN, CLASSES, K1, K2, LANES, ROUNDS, FAN_IN, SMOOTH, FOLDS = 1 << 17, 2000, 16, 40, 32, 16, 512, 2, 16, 0.1, 10
+#: Frequent words whose input gradients are summed by a product; it changes the time alone.
+OFTEN = 14
 #: Tokens that are laid out at a time.
 CHUNK = 4_000_000
 END = b""
@@ -147,12 +149,15 @@ class Cell:
 
     def __init__(self, w: dict[str, np.ndarray], hidden: int):
         self.n = hidden
-        self.input = w["input"] + w["bias"]
+        self.input = np.ascontiguousarray((w["input"] + w["bias"]).T)
         self.state = np.ascontiguousarray(w["state"].T)
 
     def gates(self, before: np.ndarray) -> np.ndarray:
         """What the inputs give to the gates: (steps, 3 * units, lanes)."""
-        return np.ascontiguousarray(self.input[before].transpose(0, 2, 1))
+        out = np.empty((len(before), *self.input.shape[:1], before.shape[1]), self.input.dtype)
+        for ids, to in zip(before, out, strict=True):
+            np.take(self.input, ids, axis=1, out=to, mode="clip")
+        return out
 
     def step(self, x: np.ndarray, h: np.ndarray, u: np.ndarray, out: np.ndarray) -> None:
         """One step from h to out. x, the gates' inputs, becomes the gates: reset, keep, candidate; u becomes state @ h."""
@@ -261,6 +266,14 @@ def train(shape: Shape, flat: np.ndarray, laid: np.ndarray, of: np.ndarray, mome
     any_first = first.any(1).tolist()
     n, lanes, kind = shape.hidden, laid.shape[1], flat.dtype
     carried = np.zeros((n, lanes), kind)
+    # arrays of all windows: fresh ones would cost a page fault for every few thousand bytes
+    all_u, all_gates, all_us = (np.empty((k1, 3 * n, lanes), kind) for _ in range(3))
+    all_starts, all_states = (np.empty((k1, n, lanes), kind) for _ in range(2))
+    all_rows = np.empty((k1 * lanes, n), kind)
+    slope, left = np.empty((2 * n, lanes), kind), np.empty((n, lanes), kind)
+    often = np.unique([*range(min(OFTEN, shape.size)), shape.size, shape.size + 1]).astype(laid.dtype)
+    is_often = np.zeros(shape.size + 2, bool)
+    is_often[often] = True
     for low in range(0, len(laid), k1):
         high = min(low + k1, len(laid))
         live = of[low:high].ravel() >= 0
@@ -271,8 +284,7 @@ def train(shape: Shape, flat: np.ndarray, laid: np.ndarray, of: np.ndarray, mome
         grad = shape.split(grad_flat)
         cell = Cell(w, n)
         x = cell.gates(before[low:high])
-        u = np.empty_like(x)
-        starts, states = np.empty((steps, n, lanes), kind), np.empty((steps, n, lanes), kind)
+        u, starts, states = all_u[:steps], all_starts[:steps], all_states[:steps]
         for t in range(steps):
             h = starts[t]
             if any_first[low + t]:
@@ -282,44 +294,56 @@ def train(shape: Shape, flat: np.ndarray, laid: np.ndarray, of: np.ndarray, mome
             cell.step(x[t], h, u[t], states[t])
         carried = states[-1].copy()
         at = np.flatnonzero(live)
-        rows = states.transpose(0, 2, 1).reshape(-1, n)
+        rows = all_rows[: steps * lanes]
+        rows.reshape(steps, lanes, n)[:] = states.transpose(0, 2, 1)
         _, d_states = log_probs(shape, w, rows if len(at) == len(live) else rows[at], laid[low:high].ravel()[at], grad)
         d_all = d_states
         if len(at) < len(live):
             d_all = np.zeros_like(rows)
             d_all[at] = d_states
         d_all = np.ascontiguousarray(d_all.reshape(steps, lanes, n).transpose(0, 2, 1))
-        # every gate's own slope, for all steps at once
-        r, z, new = x[:, :n], x[:, n : 2 * n], x[:, 2 * n :]
-        slope = np.square(1 - np.abs(2 * x[:, : 2 * n] - 1)) / 2
-        to_new = (1 - z) * np.square(1 - np.abs(new))
-        to_r, to_z = u[:, 2 * n :] * slope[:, :n], (starts - new) * slope[:, n:]
-        d_gates, d_us = np.empty_like(x), np.empty_like(x)
+        d_gates, d_us = all_gates[:steps], all_us[:steps]
         back = np.ascontiguousarray(w["state"])
-        dh, left = np.zeros((n, lanes), kind), np.empty((n, lanes), kind)
+        dh = np.zeros((n, lanes), kind)
         for t in range(steps - 1, -1, -1):
             if (t + 1) % k2 == 0:
-                dh = d_all[t].copy()
+                dh = d_all[t]
             else:
                 dh += d_all[t]
-            g, d_u = d_gates[t], d_us[t]
-            d_new = g[2 * n :]
-            np.multiply(dh, to_new[t], out=d_new)
-            np.multiply(d_new, to_r[t], out=g[:n])
-            np.multiply(dh, to_z[t], out=g[n : 2 * n])
-            d_u[: 2 * n] = g[: 2 * n]
-            np.multiply(d_new, r[t], out=d_u[2 * n :])
-            dh *= z[t]
+            g, d_u, r, z, new = d_gates[t], d_us[t], x[t, :n], x[t, n : 2 * n], x[t, 2 * n :]
+            d_new, own = g[2 * n :], d_u[: 2 * n]
+            # the candidate's slope is (1 - |new|) squared; a gate's is 2 min(gate, 1 - gate) squared
+            np.abs(new, out=d_new)
+            np.subtract(1, d_new, out=d_new)
+            d_new *= d_new
+            np.subtract(1, x[t, : 2 * n], out=slope)
+            d_new *= slope[n:]
+            d_new *= dh
+            np.minimum(slope, x[t, : 2 * n], out=slope)
+            slope *= slope
+            slope *= 2
+            np.multiply(d_new, u[t, 2 * n :], out=own[:n])
+            np.subtract(starts[t], new, out=own[n:])
+            own[n:] *= dh
+            own *= slope
+            g[: 2 * n] = own
+            np.multiply(d_new, r, out=d_u[2 * n :])
+            dh *= z
             np.matmul(back, d_u, out=left)
             dh += left
             if any_first[low + t]:
                 dh *= ~first[low + t]
-        grad["state"] += np.tensordot(starts, d_us, ((0, 2), (0, 2)))
-        flat_gates = d_gates.transpose(0, 2, 1).reshape(-1, 3 * n)
-        ids = before[low:high].ravel()
-        order = np.argsort(ids, kind="stable")
-        edges = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        grad["input"][ids[order][edges]] += np.add.reduceat(flat_gates[order], edges, axis=0)
+        grad["state"] += np.matmul(starts, d_us.transpose(0, 2, 1)).sum(0)
+        # the sum of each id's rows: most tokens have one of few ids, whose sums are one product; the others' rows are sorted
+        ids = before[low:high]
+        grad["input"][often] += np.matmul((ids[:, None] == often[:, None]).astype(kind), d_gates.transpose(0, 2, 1)).sum(0)
+        rest = np.flatnonzero(~is_often[ids])
+        if len(rest):
+            seldom = ids.ravel()[rest]
+            order = np.argsort(seldom, kind="stable")
+            seldom, (step, lane) = seldom[order], np.divmod(rest[order], lanes)
+            edges = np.flatnonzero(np.diff(seldom, prepend=-1))
+            grad["input"][seldom[edges]] += np.add.reduceat(d_gates[step, :, lane], edges, axis=0)
         grad["bias"] += grad["input"].sum(0)  # every step has one input
         norm = float(np.sqrt((grad_flat * grad_flat).sum()))
         if norm > 1:
@@ -445,9 +469,9 @@ def encoded(texts: DataFrame, index: dict[bytes, int], numbers: np.ndarray, shap
                 spelled = np.flatnonzero(found >= size)
                 spell = np.bincount(doc[spelled], of_token[spelled], minlength=n) - np.bincount(doc[spelled], minlength=n) * np.log10(outside)
                 modelled = np.minimum(found, size).astype(kind)
-                tails = [Counter() for _ in split]
-                for i in rare.tolist():
-                    tails[doc[i]][flat_words[i]] += 1
+                rare_words = [flat_words[i] for i in rare.tolist()]
+                edges = np.searchsorted(doc[rare], np.arange(n + 1, dtype=np.int32)).tolist()
+                tails = [Counter(rare_words[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in tails])]), pa.int32())
                 tail_words = pa.ListArray.from_arrays(offsets, pa.array([w for x in tails for w in x], pa.binary()))
                 tail_times = pa.ListArray.from_arrays(offsets, pa.array([c for x in tails for c in x.values()], pa.int32()))

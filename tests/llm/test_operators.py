@@ -140,6 +140,20 @@ def test_lm_trains_on_every_token(k1, k2):
         assert (loss(up) - loss(down)) / 2e-4 == pytest.approx(got[k], abs=1e-3)
 
 
+def test_lm_sums_input_gradients_alike_for_any_frequent_words(monkeypatch):
+    rng = np.random.default_rng(7)
+    shape = lm.Shape(np.arange(40, 0, -1.0), 5, hidden=4, classes=5)
+    ids = [rng.integers(0, 41, n).astype(np.uint16) for n in (1, 3, 17, 30)]
+    found = []
+    for often in (0, 14, 99):
+        monkeypatch.setattr(lm, "OFTEN", often)
+        flat = shape.start().astype(float)
+        lm.train(shape, flat, *lm.lay_out(ids, 3), [np.zeros_like(flat), np.zeros_like(flat), 0], 0.01, 8, 4)
+        found.append(flat)
+    assert np.abs(found[0] - shape.start()).max() > 1e-3
+    assert np.allclose(found[0], found[1], atol=1e-7) and np.allclose(found[0], found[2], atol=1e-7)
+
+
 def test_lm_state_is_carried_across_windows():
     shape = lm.Shape(np.arange(20, 0, -1.0), 5, hidden=6, classes=4)
     flat = shape.start()
