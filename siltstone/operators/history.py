@@ -105,12 +105,21 @@ def log_events(log: DataFrame) -> DataFrame:
 
 
 def left_behind(log: DataFrame) -> DataFrame:
-    """Snapshots that a later reset went back behind: (snapshot_id, reset_ord)."""
-    events = log_events(log)
-    first = events.filter("event = 'COMMIT'").select("snapshot_id", "ord")
-    resets = events.filter("event = 'RESET'").select(F.col("ord").alias("reset_ord"), F.col("snapshot_id").alias("to"))
-    to = first.select(F.col("snapshot_id").alias("to"), F.col("ord").alias("to_ord"))
-    return first.join(resets.join(to, "to"), F.expr("ord > to_ord AND ord < reset_ord")).groupBy("snapshot_id").agg(F.min("reset_ord").alias("reset_ord"))
+    """Snapshots that a later reset went back behind: (snapshot_id, reset_ord), the first such reset.
+
+    A reset covers the places between its snapshot's first one and its own. They are cut into ranges 2 ** level long that
+    start at multiples of their length, at most two a level, and a snapshot looks up the one range of each level it lies in:
+    an equality join, whatever the resets' lengths and nesting."""
+    own = Window.partitionBy("snapshot_id")
+    events = log_events(log.withColumn("ord", F.col("ord").cast("long")).filter("ord IS NOT NULL")).withColumn("to_ord", F.min("ord").over(own))
+    resets = events.filter("event = 'RESET' AND snapshot_id IS NOT NULL AND to_ord < ord").selectExpr("ord AS reset_ord", "to_ord + 1 AS low", "ord AS high").filter("low < high")
+    levels = resets.selectExpr("*", "explode(sequence(0, coalesce(length(bin(try_subtract(high, low))) - 1, 62))) AS level")
+    ends = levels.selectExpr("reset_ord", "level", "-shiftright(-low, level) AS low", "shiftright(high, level) AS high").filter("low < high")
+    cut = ends.selectExpr("reset_ord", "level", "explode(array(CASE WHEN low % 2 <> 0 THEN low END, CASE WHEN high % 2 <> 0 THEN high - 1 END)) AS place").filter("place IS NOT NULL")
+    ranges = cut.groupBy("level", "place").agg(F.min("reset_ord").alias("reset_ord"))
+    used = F.broadcast(ranges.select("level").distinct())  # at most 63 rows
+    first = events.filter("event = 'COMMIT'").crossJoin(used).selectExpr("snapshot_id", "level", "shiftright(ord, level) AS place")
+    return first.join(ranges, ["level", "place"]).groupBy("snapshot_id").agg(F.min("reset_ord").alias("reset_ord"))
 
 
 def row_changes(states: DataFrame, key: str) -> DataFrame:

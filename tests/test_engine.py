@@ -242,6 +242,40 @@ def test_history(spark):
     assert history.moved([1, 2, 3], [3, 1, 2]) == [3] and history.moved([1, 2], [1, 2, 9]) == []
 
 
+def _brute_left_behind(log):
+    first, out = {}, {}
+    for at, own in sorted(log):
+        first.setdefault(own, at)
+    for at, own in sorted(log):
+        if own is not None and first[own] < at:
+            for other, seen in first.items():
+                if first[own] < seen < at:
+                    out.setdefault(other, at)
+    return out
+
+
+@pytest.mark.parametrize(("step", "start"), [(1, 0), (1, -700), (977, -5000), (2**56, -(2**63))])
+@pytest.mark.parametrize("back", [3, 40, 1000])
+def test_left_behind_by_short_long_and_nested_resets(spark, step, start, back):
+    import random
+
+    draw, log = random.Random(back), []
+    for k in range(250):
+        own = draw.choice(log[-back:])[1] if log and draw.random() < 0.3 else None if k == 20 else k
+        log.append((start + k * step, own))
+    got = history.left_behind(spark.createDataFrame(log, "ord long, snapshot_id long"))
+    assert {r.snapshot_id: r.reset_ord for r in got.collect()} == _brute_left_behind(log) and got.count() > 5
+
+
+def test_left_behind_does_not_compare_every_snapshot_with_every_reset(spark):
+    n = 200_000  # every other entry goes back to the first snapshot: 5e9 pairs of a snapshot and a later reset
+    log = spark.range(n).selectExpr("id AS ord", "IF(id % 2 = 1, 0, id) AS snapshot_id")
+    found = history.left_behind(log)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if " Join " in f" {line}"]
+    assert joins and not [line for line in joins if "<" in line or ">" in line]
+    assert found.filter("reset_ord = snapshot_id + 1").count() == found.count() == n // 2 - 1
+
+
 # ---- planners
 
 
