@@ -268,14 +268,13 @@ def a31(spark, d):
     import pandas as pd
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        keys = group.p_partkey.astype("int64").to_numpy()
-        hashes = [int(h) for h in codecs.wang_longs(keys)]
+        hashes = codecs.wang_longs(group.p_partkey.astype("int64").to_numpy())
         bloom = codecs.Bloom.of(hashes, max(64, len(hashes) * 16), 4)
         data = codecs.file_index_encode({"p_partkey": [("bloom-filter", codecs.bloom_bytes(bloom)), ("bitmap", None)], "p_size": [("bsi", b"xyz")]})
         out = []
         for column, own in codecs.file_index(data).items():
             for kind, body in own:
-                found = sum(codecs.bloom_of(body).might_contain(h) for h in hashes) if kind == "bloom-filter" else len(body or b"")
+                found = int(codecs.bloom_of(body).might_contain_each(hashes).sum()) if kind == "bloom-filter" else len(body or b"")
                 out.append((int(group.file.iloc[0]), column, kind, body is None, found))
         return pd.DataFrame(out, columns=["file", "name", "type", "empty", "found"])
 

@@ -168,6 +168,22 @@ def test_bloom_has_no_false_negatives():
     assert all(map(bloom.might_contain, keys)) and codecs.xxhash64(b"") == -1205034819632174695
 
 
+@pytest.mark.parametrize(("size", "probes"), [(64, 4), (4099, 7)])
+def test_bloom_probes_many_hashes_as_one(size, probes):
+    def places(h):
+        signed = lambda x: (x & 0xFFFFFFFF) - (1 << 32) if x & 0x80000000 else x & 0xFFFFFFFF
+        both = [signed(signed(h) + k * signed(h >> 32)) for k in range(1, probes + 1)]
+        return {(~b if b < 0 else b) % size for b in both}
+
+    keys = [codecs.wang_int(k) for k in range(-40, 40)] + [0, -1, 2**31 - 1, -(2**31), 2**63 - 1, -(2**63), 2**64 - 1]
+    bloom = codecs.Bloom.of(keys, size, probes)
+    assert set(np.flatnonzero(bloom.bits)) == set().union(*map(places, keys))
+    others = np.arange(-3000, 3000) * 0x1234567890ABC
+    found = [bool(bloom.bits[list(places(int(h)))].all()) for h in others]
+    assert bloom.might_contain_each(others).tolist() == found == [bloom.might_contain(int(h)) for h in others] and not (all(found) and size > 64)
+    assert bloom.might_contain_each([]).tolist() == [] and not codecs.Bloom.of([], size, probes).bits.any()
+
+
 def test_parsing():
     assert parsing.duration_ms("30 min") == 1_800_000 and parsing.duration_ms("bad") is None and parsing.interval_ms("interval 1 week") == 604_800_000
     assert parsing.memory_bytes("64kb") == 65536 and parsing.memory_bytes("128 mb") == 128 << 20 and parsing.memory_bytes("x") is None
@@ -579,6 +595,19 @@ def test_theta_sketches_count_exactly(spark, tmp_path, users):
     assert got == want == [(users, users)]
 
 
+def test_a_container_of_many_keys_is_read_once(spark, tmp_path):
+    import time
+
+    n = 200_000  # keys of one file; its filter has 3.2 million bits
+    spark.range(n).selectExpr("id * 16 - 1600 AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    from siltstone.plans import registry
+
+    start = time.time()
+    got = {tuple(r) for r in registry.queries()["a31_file_index_containers"](spark, str(tmp_path)).collect()}
+    assert got == {(0, "p_partkey", "bloom-filter", False, n), (0, "p_partkey", "bitmap", True, 0), (0, "p_size", "bsi", False, 3)}
+    assert time.time() - start < 60
+
+
 def test_a_moved_table_is_read_where_it_is(spark, tmp_path):
     import shutil
 
